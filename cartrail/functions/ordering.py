@@ -95,6 +95,7 @@ class Ordered:
     block_rows: int
     cold: DataFrame
     hot: DataFrame | None = None
+    gaps: bool = False
 
     @classmethod
     def of(
@@ -116,6 +117,8 @@ class Ordered:
 
     def over(self, back: int, add: Callable[[DataFrame, WindowSpec], DataFrame]) -> "Ordered":
         """Apply ``add``, which may look at the current and ``back`` earlier rows."""
+        if self.gaps and self.hot is not None:
+            return self._renumbered().over(back, add)
         cold = add(self.cold, self.window())
         if self.hot is None:
             return replace(self, cold=cold)
@@ -142,7 +145,12 @@ class Ordered:
 
     def filter(self, condition: Column) -> "Ordered":
         hot = None if self.hot is None else self.hot.filter(condition)
-        return replace(self, cold=self.cold.filter(condition), hot=hot)
+        return replace(self, cold=self.cold.filter(condition), hot=hot, gaps=True)
+
+    def _renumbered(self) -> "Ordered":
+        """Close the gaps that a filter left in the positions of hot keys."""
+        hot = self.running_sum(F.lit(1).cast("bigint"), "_dense").hot
+        return replace(self, hot=hot.drop(POS).withColumnRenamed("_dense", POS), gaps=False)
 
     def running_sum(self, value: Column, name: str) -> "Ordered":
         """Sum of ``value`` over the key's rows up to and including this one."""

@@ -5,9 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartrail.functions.durable import durable
+
 MAX_LOOKUP_ROWS = 10_000
 
 
+def settled(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame:
+    """``df`` computed once: held as literal rows if few, else written out."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return durable(df)
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def small_lookup(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``max_rows`` rows.
 

@@ -66,7 +66,7 @@ def range_positions(df: DataFrame, key: str, order: list[str]) -> DataFrame:
         ordered.groupBy(F.col(key), partition.alias("_pid"))
         .agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
         .withColumn(
-            "_before",
+            "_carried",
             F.coalesce(
                 F.sum("_n").over(
                     Window.partitionBy(key)
@@ -81,8 +81,8 @@ def range_positions(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return (
         ordered.withColumn("_pid", partition)
         .join(F.broadcast(runs), [key, "_pid"])
-        .withColumn(POS, F.col("_before") + F.col("_mid") - F.col("_first") + 1)
-        .drop("_mid", "_pid", "_first", "_before")
+        .withColumn(POS, F.col("_carried") + F.col("_mid") - F.col("_first") + 1)
+        .drop("_mid", "_pid", "_first", "_carried")
     )
 
 
@@ -172,15 +172,15 @@ class Ordered:
                         .rowsBetween(Window.unboundedPreceding, -1)
                     ),
                     F.lit(0),
-                ).alias("_before"),
+                ).alias("_carried"),
             )
         )
         within = Window.partitionBy(self.key, BLOCK).orderBy(POS).rowsBetween(*to_here)
         hot = (
             rows.withColumn(name, F.sum(value).over(within))
             .join(before, [self.key, BLOCK])
-            .withColumn(name, F.col(name) + F.col("_before"))
-            .drop(BLOCK, "_before")
+            .withColumn(name, F.col(name) + F.col("_carried"))
+            .drop(BLOCK, "_carried")
         )
         return replace(self, cold=cold, hot=hot)
 

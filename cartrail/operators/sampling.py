@@ -70,29 +70,29 @@ def event_log_preview(log: EventLog, max_rows: int = PREVIEW_ROWS) -> DataFrame:
     """The first ``max_rows`` rows of whole cases, by first appearance of the case.
 
     Every case has at least one row, so the first ``max_rows`` cases suffice.
+    Column ``row`` is the place in the preview; times become text, NaN null.
     """
     s = log.spec
-    if max_rows <= 0:
-        return log.df.limit(0)
     cases = log.df.filter(F.col(s.case).isNotNull())
     first = (
         cases.groupBy(s.case)
         .agg(F.min(s.time).alias("_start"))
         .orderBy("_start", s.case)
-        .limit(max_rows)
+        .limit(max(max_rows, 0))
     )
-    # Bounded by the preview size.
-    rows = cases.join(F.broadcast(first), s.case).orderBy(
-        "_start", s.case, *s.order
-    ).limit(max_rows)
-    floats = [n for n, t in log.df.dtypes if t in ("double", "float")]
+    place = ["_start", s.case, *s.order]
+    # Bounded by the preview size, as is the window below.
+    rows = cases.join(F.broadcast(first), s.case).orderBy(*place).limit(max(max_rows, 0))
+    types = dict(log.df.dtypes)
+
+    def shown(name: str):
+        if name == s.time and types[name].startswith("timestamp"):
+            return F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(name)
+        if types[name] in ("double", "float"):
+            return F.when(~F.isnan(name), F.col(name)).alias(name)
+        return F.col(name)
+
     return rows.select(
-        *[
-            F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
-            if c == s.time and dict(log.df.dtypes)[c].startswith("timestamp")
-            else F.when(~F.isnan(c), F.col(c)).alias(c)
-            if c in floats
-            else F.col(c)
-            for c in log.df.columns
-        ]
+        F.row_number().over(Window.orderBy(*place)).cast("bigint").alias("row"),
+        *[shown(c) for c in log.df.columns],
     )

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartrail.functions.durable import utc
 from cartrail.functions.ordering import Ordered, hot_keys
 from cartrail.spec import DEFAULT_HOT_ROWS, EventLog, LogSpec
-from cartrail.sources.event_log import fill_defaults
+from cartrail.sources.event_log import UNKNOWN, fill_defaults
 
 SESSION_GAP_HOURS = 12
 
@@ -66,6 +69,7 @@ def _role(event_type: str):
 
 
 _LOGS: dict[tuple, EventLog] = {}
+_FOLDERS: dict[tuple, str] = {}
 
 
 def _once(spark: SparkSession, kind: str, sf_dir: str, build) -> EventLog:
@@ -143,3 +147,33 @@ def dialogue_log(spark: SparkSession, sf_dir: str, hot_rows: int = DEFAULT_HOT_R
         return EventLog(df, DIALOGUE_SPEC, hot_rows)
 
     return _once(spark, "dialogue", sf_dir, build)
+
+
+def csv_log_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Write the shop log as CSV text, flaws included, and return its folder.
+
+    Every tenth product id gets an unreadable time and every tenth a category
+    id too large for a bigint, so that reading it back has something to reject.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FOLDERS:
+        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cartrail-")
+        folder = f"{base.rstrip('/')}/shop-{uuid.uuid4().hex}"
+        k = F.col("product_id") % 10
+        time = F.date_format("event_time", "yyyy-MM-dd HH:mm:ss")
+        shop_log(spark, sf_dir).df.select(
+            F.when(k == 3, F.lit("unknown")).otherwise(F.concat(time, F.lit(" UTC"))).alias("event_time"),
+            "event_type",
+            "product_id",
+            F.when(k == 7, F.lit("9.9E+30"))
+            .otherwise(F.concat(F.lit("2."), F.lpad(F.col("product_id").cast("string"), 2, "0"), F.lit("E+18")))
+            .alias("category_id"),
+            F.nullif("category_code", F.lit(UNKNOWN)).alias("category_code"),
+            F.nullif("brand", F.lit(UNKNOWN)).alias("brand"),
+            "price",
+            "user_id",
+            "user_session",
+        ).write.option("header", True).csv(folder)
+        _FOLDERS[key] = folder
+    return _FOLDERS[key]
+

@@ -1,4 +1,4 @@
-"""Joining against a table that is usually tiny, with its size checked."""
+"""Tables that are usually tiny, held on the driver only after a size check."""
 
 from __future__ import annotations
 
@@ -10,12 +10,18 @@ from cartrail.functions.durable import durable
 MAX_LOOKUP_ROWS = 10_000
 
 
+def _literal(df: DataFrame, max_rows: int) -> DataFrame | None:
+    """The rows of ``df`` as a local table, or None if there are more than ``max_rows``."""
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        return None
+    return df.sparkSession.createDataFrame(rows, schema=df.schema)
+
+
 def settled(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame:
     """``df`` computed once: held as literal rows if few, else written out."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return durable(df)
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    literal = _literal(df, max_rows)
+    return durable(df) if literal is None else literal
 
 
 def small_lookup(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame:
@@ -25,7 +31,5 @@ def small_lookup(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame:
     no shuffle. A larger one is returned as it is, to be joined by shuffle with
     skew handling left to adaptive execution.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    literal = _literal(df, max_rows)
+    return df if literal is None else F.broadcast(literal)

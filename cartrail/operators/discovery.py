@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartrail.functions.durable import durable
+from cartrail.functions.lookup import settled
 from cartrail.operators.traces import directly_follows, end_activities, start_activities
 from cartrail.spec import EventLog
 
@@ -55,7 +55,7 @@ def maximal_pairs(relations: DataFrame) -> DataFrame:
         related.join(outs, "x", "left").join(ins, "x", "left").join(loops, "x", "left_anti")
     )
     left, right = about.alias("l"), about.alias("r")
-    causal = durable(
+    causal = settled(
         causes.join(left, F.col("a") == F.col("l.x"))
         .join(right, F.col("b") == F.col("r.x"))
         .select(
@@ -68,7 +68,7 @@ def maximal_pairs(relations: DataFrame) -> DataFrame:
         )
     )
     found: DataFrame | None = None
-    open_pairs = durable(
+    open_pairs = settled(
         causal.select(F.array("a").alias("inputs"), F.array("b").alias("outputs"))
     )
     while not open_pairs.isEmpty():
@@ -96,10 +96,10 @@ def maximal_pairs(relations: DataFrame) -> DataFrame:
                 F.array_sort(F.array_append("outputs", F.col("b"))).alias("next_outputs"),
             )
         )
-        wider = durable(wider_in.unionByName(wider_out))
+        wider = settled(wider_in.unionByName(wider_out))
         maximal = open_pairs.join(wider, ["inputs", "outputs"], "left_anti")
         found = maximal if found is None else found.unionByName(maximal)
-        open_pairs = durable(
+        open_pairs = settled(
             wider.select(
                 F.col("next_inputs").alias("inputs"), F.col("next_outputs").alias("outputs")
             ).distinct()
@@ -113,7 +113,7 @@ def _set_text(names: Column) -> Column:
 
 def alpha_places(log: EventLog) -> DataFrame:
     """Places of the alpha miner: (place, inputs, outputs) with comma-joined sets."""
-    inner = maximal_pairs(durable(footprint(log))).select(
+    inner = maximal_pairs(settled(footprint(log))).select(
         F.concat(
             F.lit("("), _set_text(F.col("inputs")), F.lit(","), _set_text(F.col("outputs")), F.lit(")")
         ).alias("place"),
@@ -137,7 +137,7 @@ def alpha_places(log: EventLog) -> DataFrame:
 
 def petri_arcs(log: EventLog) -> DataFrame:
     """The net as rows (kind, source, target): arcs and the two markings."""
-    relations = durable(footprint(log))
+    relations = settled(footprint(log))
     inner = maximal_pairs(relations).withColumn(
         "place",
         F.concat(

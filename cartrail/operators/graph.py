@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartrail.functions.durable import durable
+from cartrail.functions.lookup import MAX_LOOKUP_ROWS, settled
 from cartrail.operators.traces import transitions
 from cartrail.spec import EventLog
 
@@ -49,9 +50,11 @@ def betweenness(edges: DataFrame, max_pivots: int = MAX_PIVOTS, seed: int = PIVO
     sources x activities rows and are written every round. Above ``max_pivots``
     activities a seeded choice of sources stands for all, scaled up.
     """
-    links = durable(edges.filter(F.col("src") != F.col("dst")).select("src", "dst").distinct())
-    nodes = graph_nodes(edges)
+    links = settled(edges.filter(F.col("src") != F.col("dst")).select("src", "dst").distinct())
+    nodes = settled(graph_nodes(edges))
     n = nodes.count()
+    # A small graph's rounds are held as literal rows, a large one's written out.
+    keep = settled if n * min(n, max_pivots) <= MAX_LOOKUP_ROWS else durable
     sources = nodes
     if n > max_pivots:
         draw = F.md5(F.concat_ws(":", F.lit(str(seed)), "activity"))
@@ -62,7 +65,7 @@ def betweenness(edges: DataFrame, max_pivots: int = MAX_PIVOTS, seed: int = PIVO
         F.col("activity").alias("node"),
         F.lit(1.0).alias("paths"),
     )
-    levels = [durable(frontier)]
+    levels = [keep(frontier)]
     seen = levels[0].select("source", "node")
     while True:
         reached = (
@@ -71,7 +74,7 @@ def betweenness(edges: DataFrame, max_pivots: int = MAX_PIVOTS, seed: int = PIVO
             .groupBy("source", F.col("dst").alias("node"))
             .agg(F.sum("paths").alias("paths"))
         )
-        level = durable(reached.join(seen, ["source", "node"], "left_anti"))
+        level = keep(reached.join(seen, ["source", "node"], "left_anti"))
         if level.isEmpty():
             break
         levels.append(level)
@@ -87,7 +90,7 @@ def betweenness(edges: DataFrame, max_pivots: int = MAX_PIVOTS, seed: int = PIVO
             here = here.join(deeper, ["source", "node"], "left").withColumn(
                 "share", F.coalesce("share", F.lit(0.0))
             )
-        here = durable(here)
+        here = keep(here)
         shares.append(here.select("node", "share"))
         if depth > 1:
             above = levels[depth - 1].select(
@@ -127,7 +130,7 @@ def first_seen(edges: DataFrame) -> DataFrame:
 
 def bottlenecks(edges: DataFrame, top: int = TOP_BOTTLENECKS) -> DataFrame:
     """Activities by betweenness; ties by first appearance in the graph."""
-    edges = durable(edges)
+    edges = settled(edges)
     # Float sums differ in their last digits with the order of addition; ties
     # must not depend on that.
     scored = betweenness(edges).withColumn("betweenness", F.round("betweenness", 9))

@@ -251,6 +251,9 @@ def train_classifier(
 ) -> tuple[PipelineModel, DataFrame]:
     """A fitted network on one-hot slots of the last activities, and its held-out rows."""
     rows, size = _classifier_rows(log, max_len)
+    # Training passes over the rows once per iteration: keep every core busy
+    # even where small shuffles have been merged into few partitions.
+    rows = durable(rows.repartition(log.df.sparkSession.sparkContext.defaultParallelism))
     held = in_holdout(F.col("case_id"))
     slots = [f"s{i}" for i in range(max_len)]
     encoded = [f"v{i}" for i in range(max_len)]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cartrail.functions.cuts import ENDS, STARTS, split_node
 from cartrail.functions.durable import durable
-from cartrail.functions.lookup import settled, small_lookup
+from cartrail.functions.lookup import settled
 from cartrail.functions.ordering import Ordered, hot_keys
 from cartrail.operators.traces import variants
 from cartrail.spec import EventLog
@@ -155,7 +155,7 @@ def _grow(log: EventLog) -> DataFrame:
         optional = settled(
             kept.join(traces, "node").filter(F.col("kept") < F.col("all")).select("child")
         )
-        marked = F.broadcast(optional.withColumn("optional", F.lit(True)))
+        marked = optional.withColumn("optional", F.lit(True))
         place = F.when(F.col("optional"), F.concat_ws(".", "child", F.lit("1"))).otherwise(
             F.col("child")
         )
@@ -181,10 +181,8 @@ def _move(ordered: Ordered, splits: DataFrame) -> DataFrame:
     Loops also cut traces: at each change of part, or, for loops with a silent
     redo, where a new start follows (after an end, if the loop is strict).
     """
-    lookup = small_lookup(splits)  # one row per activity and node
-
     def place(df: DataFrame) -> DataFrame:
-        return df.join(lookup, ["node", "activity"])
+        return df.join(splits, ["node", "activity"])
 
     placed = Ordered(
         ordered.key,

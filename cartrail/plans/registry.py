@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartrail.functions.durable import durable
+from cartrail.functions.lookup import settled
 from cartrail.operators import commerce, discovery, graph, predict, sampling, traces, tree
 from cartrail.plans import report
 from cartrail.sources import bindings, event_log, results
@@ -109,7 +110,7 @@ def next_activity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oriented_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = bindings.graph_log(spark, sf_dir)
-    return durable(graph.oriented(graph.activity_graph(log, collapse=False)))
+    return settled(graph.oriented(graph.activity_graph(log, collapse=False)))
 
 
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,9 @@ PART = "_part"
 
 # Sampled rows that a key at the threshold is expected to show.
 SAMPLE_ROWS_AT_THRESHOLD = 1000
-MAX_HOT_KEYS = 1000
+MAX_HOT_KEYS = 10_000
+# Copies of one row that a single task may write out again.
+COPIES_PER_TASK = 10_000
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int) -> list:
@@ -50,15 +52,50 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int) -> list:
     return [row[0] for row in top.collect()]
 
 
+def with_copy_numbers(df: DataFrame) -> DataFrame:
+    """Number equal rows from 1 in ``_copy``.
+
+    Equal rows share one sort key and could not be split over tasks otherwise.
+    They are counted (which combines before the shuffle) and written out again;
+    a row with very many copies is first cut into runs that spread over tasks.
+    The numbers depend only on the data, so a repeated task gives the same rows.
+    """
+    columns = df.columns
+    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    last = F.least(F.lit(COPIES_PER_TASK), F.col("_n") - F.col("_run") * COPIES_PER_TASK)
+
+    def written_out(runs: DataFrame) -> DataFrame:
+        number = F.explode(F.sequence(F.lit(1).cast("bigint"), last))
+        return runs.select(*columns, "_run", number.alias("_i")).select(
+            *columns, (F.col("_run") * COPIES_PER_TASK + F.col("_i")).alias("_copy")
+        )
+
+    few = counted.filter(F.col("_n") <= COPIES_PER_TASK).withColumn("_run", F.lit(0).cast("bigint"))
+    runs = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / COPIES_PER_TASK))
+    many = (
+        counted.filter(F.col("_n") > COPIES_PER_TASK)
+        .withColumn("_run", F.explode(runs))
+        .repartition(*columns, "_run")
+    )
+    return written_out(few).unionByName(written_out(many))
+
+
 def range_positions(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Add the 1-based position of each row within its key by a range sort.
 
-    The sort splits on the full (key, order) tuple, so one key may spread over
-    every task. Positions come from the row's place in its sorted partition
-    plus the key's rows in earlier partitions. The sorted rows are written
-    once, because range bounds may differ between evaluations.
+    The sort splits on the full tuple of key, order and all else, so one key may
+    spread over every task. Positions come from the row's place in its sorted
+    partition plus the key's rows in earlier partitions. The sorted rows are
+    written once, because range bounds may differ between evaluations.
     """
-    ordered = durable(df.orderBy(key, *order).withColumn("_mid", F.monotonically_increasing_id()))
+    rest = [c for c in df.columns if c != key and c not in order]
+    sort = [key, *order, *rest, "_copy"]
+    ordered = durable(
+        with_copy_numbers(df)
+        .orderBy(*sort)
+        .withColumn("_mid", F.monotonically_increasing_id())
+        .drop("_copy")
+    )
     partition = F.shiftright("_mid", 33)
     # A sorted partition holds each key once, so this has no more rows than
     # keys plus partitions: safe to broadcast.

@@ -259,10 +259,14 @@ def purchase_rate_by_category(log: EventLog, top: int | None = None) -> DataFram
     return rates.orderBy(F.col("total_sessions").desc(), "category").limit(top)
 
 
+def abandonment(cart: Column, bought: Column) -> Column:
+    """Share of cart sessions without purchase, kept within 0 to 100."""
+    return F.least(F.lit(100.0), F.greatest(F.lit(0.0), percent(cart - bought, cart)))
+
+
 def cart_abandonment(log: EventLog, top: int | None = None) -> DataFrame:
     """Share of cart sessions without purchase, over categories that have either."""
     cart, bought = F.col("cart_sessions"), F.col("purchase_sessions")
-    rate = percent(cart - bought, cart)
     rates = (
         category_counts(log)
         .filter("in_funnel")
@@ -270,7 +274,7 @@ def cart_abandonment(log: EventLog, top: int | None = None) -> DataFrame:
             "category",
             "cart_sessions",
             "purchase_sessions",
-            F.least(F.lit(100.0), F.greatest(F.lit(0.0), rate)).alias("abandonment_rate"),
+            abandonment(cart, bought).alias("abandonment_rate"),
         )
     )
     if top is None:
@@ -421,23 +425,40 @@ def remove_purchase_rate(log: EventLog) -> DataFrame:
 
 
 def metrics(log: EventLog) -> DataFrame:
-    """The six summary rates in one row."""
-
-    def mean(df: DataFrame, column: str) -> Column:
-        return df.agg(F.coalesce(F.avg(column), F.lit(0.0))).scalar().alias(f"{column}_avg")
-
-    def only(df: DataFrame, column: str) -> Column:
-        return df.select(column).scalar().alias(column)
-
-    loyalty = user_loyalty(log)
-    return log.df.sparkSession.range(1).select(
-        mean(purchase_rate_by_category(log), "purchase_rate"),
-        mean(cart_abandonment(log), "abandonment_rate"),
-        only(window_shopper_rate(log), "window_shopper_rate"),
-        only(remove_purchase_rate(log), "remove_cart_purchase_rate"),
-        only(loyalty, "returning_rate"),
-        only(loyalty, "loyal_rate"),
+    """The six summary rates in one row, from three passes: by category, session and user."""
+    s = log.spec
+    zero, time = F.lit(0.0), F.col(s.time)
+    total, bought, cart = (F.col(c) for c in ("total_sessions", "purchase_sessions", "cart_sessions"))
+    by_category = category_counts(log).agg(
+        F.coalesce(F.avg(percent(bought, total)), zero).alias("purchase_rate_avg"),
+        F.coalesce(
+            F.avg(F.when(F.col("in_funnel"), abandonment(cart, bought))), zero
+        ).alias("abandonment_rate_avg"),
+    )
+    by_session = (
+        log.df.groupBy(s.case)
+        .agg(
+            _only_view(log).alias("only_view"),
+            F.min(F.when(log.is_activity(s.remove), time)).alias("first_remove"),
+            F.min(F.when(log.is_activity(s.purchase), time)).alias("first_purchase"),
+            F.count_if(log.is_activity(s.remove)).alias("removals"),
+        )
+        .withColumn("known", F.col(s.case).isNotNull())
+    )
+    removed = F.col("known") & (F.col("first_purchase") > F.col("first_remove"))
+    removals = F.coalesce(F.sum("removals"), F.lit(0))
+    by_session = by_session.agg(
+        percent(
+            F.count_if(F.col("known") & F.col("only_view")),
+            F.greatest(F.lit(1), F.count_if("known")),
+        ).alias("window_shopper_rate"),
+        percent(F.count_if(removed), F.greatest(F.lit(1), removals)).alias("remove_cart_purchase_rate"),
+    )
+    parts = {"category": by_category, "session": by_session, "user": user_loyalty(log)}
+    one = log.df.sparkSession.range(1).select(
+        *[df.select(F.struct(*df.columns)).scalar().alias(name) for name, df in parts.items()]
     )
+    return one.select("category.*", "session.*", "user.*")
 
 
 def outer_join_counts(log: EventLog) -> DataFrame:

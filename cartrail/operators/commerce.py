@@ -128,7 +128,9 @@ def _purchases(log: EventLog) -> DataFrame:
 
 def _price_binned(df: DataFrame, log: EventLog) -> DataFrame:
     price = F.col(log.spec.price)
-    binned = df.withColumn("price_bin", _bigint(F.floor(price / BIN_SIZE) * BIN_SIZE))
+    # First a plain bound that scans can use; it also drops NaN and infinity.
+    below = df.filter(price < MAX_PRICE + BIN_SIZE + 1)
+    binned = below.withColumn("price_bin", _bigint(F.floor(price / BIN_SIZE) * BIN_SIZE))
     return binned.filter(F.col("price_bin") <= MAX_PRICE)
 
 
@@ -175,8 +177,9 @@ def price_hour_heatmap(log: EventLog, purchases: bool = False) -> DataFrame:
 
 
 def price_segment(price: Column) -> Column:
-    """Segment name, upper bound included; null outside all segments."""
+    """Segment name, upper bound included; null outside all segments and for NaN."""
     segment = F.lit(None).cast("string")
+    price = F.nanvl(price, F.lit(None).cast("double"))
     for name, low, high in reversed(SEGMENTS):
         inside = price > low if high is None else (price > low) & (price <= high)
         segment = F.when(inside, name).otherwise(segment)

@@ -72,7 +72,7 @@ def test_null_session(shop_rows):
 
 
 def test_price_borders(shop_rows):
-    prices = [0.0, 50.0, 50.01, 2049.99, 2050.0, None]
+    prices = [0.0, 50.0, 50.01, 2049.99, 2050.0, None, math.nan]
     log = shop_rows([{"price": p, "user_session": f"s{i}"} for i, p in enumerate(prices)])
     bins = as_set(commerce.price_distribution(log), "price_bin", "session_count")
     assert bins == {(0, 1), (50, 2), (2000, 1)}

@@ -7,18 +7,23 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as named by ``spark.checkpoint.dir``.
 
-    The folder is the one named by ``spark.checkpoint.dir``. Only a session
-    without one, as in a local test, gets a temporary folder.
+    Only a local session without one, as in a test, gets a temporary folder.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured is None and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="cartrail-"))
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder and cut its lineage there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -27,13 +27,17 @@ def activity_graph(log: EventLog, collapse: bool = True) -> DataFrame:
 
 def oriented(edges: DataFrame) -> DataFrame:
     """Keep an edge only if it outweighs the edge the other way."""
-    back = edges.select(
-        F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("weight").alias("_back")
-    )
+    columns = ["weight", *[c for c in edges.columns if c != "weight"]]
     return (
-        edges.join(back, ["src", "dst"], "left")
-        .filter(F.col("weight") > F.coalesce("_back", F.lit(0)))
-        .drop("_back")
+        edges.filter(F.col("src") != F.col("dst"))
+        .groupBy(F.least("src", "dst"), F.greatest("src", "dst"))
+        .agg(
+            F.max(F.struct(*columns)).alias("top"),
+            F.min("weight").alias("low"),
+            F.count(F.lit(1)).alias("ways"),
+        )
+        .filter((F.col("ways") == 1) | (F.col("top.weight") > F.col("low")))
+        .select(*[F.col(f"top.{c}").alias(c) for c in edges.columns])
     )
 
 

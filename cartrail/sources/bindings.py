@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartrail.functions.durable import utc
+from cartrail.functions.durable import shared_folder, utc
 from cartrail.functions.ordering import Ordered, hot_keys
 from cartrail.spec import DEFAULT_HOT_ROWS, EventLog, LogSpec
 from cartrail.sources.event_log import UNKNOWN, fill_defaults
@@ -72,9 +71,9 @@ _LOGS: dict[tuple, EventLog] = {}
 _FOLDERS: dict[tuple, str] = {}
 
 
-def _once(spark: SparkSession, kind: str, sf_dir: str, build) -> EventLog:
+def _once(spark: SparkSession, kind: str, sf_dir: str, hot_rows: int, build) -> EventLog:
     """One log per session and folder, so its hot keys are looked up once."""
-    key = (spark.sparkContext.applicationId, kind, sf_dir)
+    key = (spark.sparkContext.applicationId, kind, sf_dir, hot_rows)
     if key not in _LOGS:
         _LOGS[key] = build()
     return _LOGS[key]
@@ -102,7 +101,7 @@ def shop_log(spark: SparkSession, sf_dir: str, hot_rows: int = DEFAULT_HOT_ROWS)
         df = rows.join(part, known, "left").drop("p_partkey")
         return EventLog(fill_defaults(df), SHOP_SPEC, hot_rows)
 
-    return _once(spark, "shop", sf_dir, build)
+    return _once(spark, "shop", sf_dir, hot_rows, build)
 
 
 def session_log(spark: SparkSession, sf_dir: str, hot_rows: int = DEFAULT_HOT_ROWS) -> EventLog:
@@ -118,7 +117,7 @@ def session_log(spark: SparkSession, sf_dir: str, hot_rows: int = DEFAULT_HOT_RO
         )
         return EventLog(df, SHOP_SPEC, hot_rows)
 
-    return _once(spark, "session", sf_dir, build)
+    return _once(spark, "session", sf_dir, hot_rows, build)
 
 
 def graph_log(spark: SparkSession, sf_dir: str, hot_rows: int = DEFAULT_HOT_ROWS) -> EventLog:
@@ -134,7 +133,7 @@ def graph_log(spark: SparkSession, sf_dir: str, hot_rows: int = DEFAULT_HOT_ROWS
         )
         return EventLog(df, GRAPH_SPEC, hot_rows)
 
-    return _once(spark, "graph", sf_dir, build)
+    return _once(spark, "graph", sf_dir, hot_rows, build)
 
 
 def dialogue_log(spark: SparkSession, sf_dir: str, hot_rows: int = DEFAULT_HOT_ROWS) -> EventLog:
@@ -146,7 +145,7 @@ def dialogue_log(spark: SparkSession, sf_dir: str, hot_rows: int = DEFAULT_HOT_R
         )
         return EventLog(df, DIALOGUE_SPEC, hot_rows)
 
-    return _once(spark, "dialogue", sf_dir, build)
+    return _once(spark, "dialogue", sf_dir, hot_rows, build)
 
 
 def csv_log_folder(spark: SparkSession, sf_dir: str) -> str:
@@ -157,8 +156,7 @@ def csv_log_folder(spark: SparkSession, sf_dir: str) -> str:
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _FOLDERS:
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cartrail-")
-        folder = f"{base.rstrip('/')}/shop-{uuid.uuid4().hex}"
+        folder = f"{shared_folder(spark)}/shop-{uuid.uuid4().hex}"
         k = F.col("product_id") % 10
         time = F.date_format("event_time", "yyyy-MM-dd HH:mm:ss")
         shop_log(spark, sf_dir).df.select(

@@ -41,8 +41,13 @@ def fill_defaults(df: DataFrame, columns: tuple[str, ...] = ("brand", "category_
 
 
 def csv_scan(spark: SparkSession, path: str) -> DataFrame:
-    """The nine log columns of a headed CSV as text, picked by name."""
-    return spark.read.option("header", True).csv(path).select(*LOG_COLUMNS)
+    """The nine log columns of a headed CSV as text, picked by name.
+
+    Files of one folder must agree on their header; ``enforceSchema`` off makes
+    a file with another column order an error instead of mixed-up columns.
+    """
+    reader = spark.read.option("header", True).option("enforceSchema", False)
+    return reader.csv(path).select(*LOG_COLUMNS)
 
 
 def canonical(raw: DataFrame) -> DataFrame:

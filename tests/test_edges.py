@@ -53,6 +53,18 @@ def test_missing_column_is_an_error(spark, tmp_path):
         event_log.load_event_log(spark, str(file))
 
 
+def test_files_of_a_folder_must_agree(spark, tmp_path):
+    names = HEADER.strip().split(",")
+    line = "2019-10-01 00:00:09 UTC,view,1,2.05E+18,c,b,1.5,7,s".split(",")
+    for name, order in (("a", names), ("b", names[::-1])):
+        values = [line[names.index(c)] for c in order]
+        (tmp_path / f"{name}.csv").write_text(",".join(order) + "\n" + ",".join(values) + "\n")
+    with pytest.raises(Exception, match="CSV header"):
+        event_log.load_event_log(spark, str(tmp_path)).df.collect()
+    one = event_log.load_event_log(spark, str(tmp_path / "b.csv")).df.first()
+    assert (one.user_session, one.price) == ("s", 1.5)
+
+
 def test_parquet_log_round_trip(spark, clicks, tmp_path):
     clicks.df.write.parquet(str(tmp_path / "log"))
     again = event_log.load_event_log(spark, str(tmp_path / "log"), fmt="parquet").df

@@ -18,6 +18,21 @@ def test_query_matches_sql(spark, name):
     assert ok, note
 
 
+@pytest.mark.parametrize(
+    "name, operator",
+    [
+        ("dfg_collapsed", traces.directly_follows),
+        ("variants", traces.variants),
+        ("session_order", commerce.session_order),
+    ],
+)
+def test_hot_users_and_sessions_match_sql(spark, name, operator):
+    ok, note = compare(
+        spark, SMALL, name, lambda s, folder: operator(bindings.session_log(s, folder, hot_rows=6))
+    )
+    assert ok, note
+
+
 def test_every_sql_has_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
 

@@ -20,7 +20,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from cartrail.llm.common import in_groups
 
 VOCABULARY = "word_bpe_49k.json"
 WINDOW = 8
@@ -141,19 +142,6 @@ def whole_chunks(raw: bytes) -> Iterator[bytes]:
         yield head
 
 
-def in_groups(texts: list[bytes], size: int) -> Iterator[list[bytes]]:
-    """Texts in groups of about ``size`` bytes."""
-    group, held = [], 0
-    for text in texts:
-        group.append(text)
-        held += len(text)
-        if held >= size:
-            yield group
-            group, held = [], 0
-    if group:
-        yield group
-
-
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 

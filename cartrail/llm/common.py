@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +64,17 @@ def stored_partitions(df: DataFrame, rows_per_cell: int) -> DataFrame:
     return marked.withColumn(
         "_cell", F.concat_ws("-", part, F.floor(within / rows_per_cell).cast("string"))
     )
+
+
+def in_groups(texts: list[bytes], size: int) -> Iterator[list[bytes]]:
+    """Texts in groups of at most ``size`` bytes; a longer text is a group of its own."""
+    group: list[bytes] = []
+    held = 0
+    for text in texts:
+        if group and held + len(text) > size:
+            yield group
+            group, held = [], 0
+        group.append(text)
+        held += len(text)
+    if group:
+        yield group

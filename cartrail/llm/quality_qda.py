@@ -20,9 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cartrail.llm.common import in_groups
+
 TO_POOLED = 0.2
 TO_IDENTITY = 0.05
 THRESHOLD = 0.3
+STRETCH = 1 << 20
 HELD_OUT = (5, 0)
 
 # A text counts as if it had this many bytes of usual prose besides its own, so
@@ -49,17 +52,44 @@ def _class_table() -> np.ndarray:
     return table
 
 
+def byte_counts(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of each class and marks that follow themselves, as in "!!", of each text.
+
+    Bytes are looked at in stretches of at most STRETCH, whole texts together
+    where they fit, so that the arrays stay small.
+    """
+    table = _class_table()
+    counts = np.zeros((len(raw), CLASSES), dtype=np.int64)
+    doubled = np.zeros(len(raw), dtype=np.int64)
+
+    def add(rows: np.ndarray, data: np.ndarray, first: int) -> None:
+        """Count ``data``; its first ``first`` bytes have been counted before."""
+        code = table[data]
+        twice = (data[1:] == data[:-1]) & (code[1:] >= 5) & (code[1:] < 10) & (rows[1:] == rows[:-1])
+        low, span = rows[0], rows[-1] - rows[0] + 1
+        place = (rows[first:] - low) * CLASSES + code[first:]
+        counts[low : low + span] += np.bincount(place, minlength=span * CLASSES).reshape(span, CLASSES)
+        doubled[low : low + span] += np.bincount(rows[1:][twice] - low, minlength=span)
+
+    at = 0
+    for group in in_groups(raw, STRETCH):
+        if len(group) == 1 and len(group[0]) > STRETCH:
+            for start in range(0, len(group[0]), STRETCH):
+                before = min(start, 1)
+                data = np.frombuffer(group[0][start - before : start + STRETCH], dtype=np.uint8)
+                add(np.full(len(data), at), data, before)
+        elif any(group):
+            rows = np.repeat(np.arange(at, at + len(group)), [len(r) for r in group])
+            add(rows, np.frombuffer(b"".join(group), dtype=np.uint8), 0)
+        at += len(group)
+    return counts, doubled
+
+
 def statistics(texts: list[str | None]) -> np.ndarray:
     """One row of NAMES per text; a null text counts as empty."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     size = np.array([len(r) for r in raw], dtype=np.int64)
-    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
-    row = np.repeat(np.arange(len(raw)), size)
-    code = _class_table()[data]
-    counts = np.bincount(row * CLASSES + code, minlength=len(raw) * CLASSES).reshape(len(raw), CLASSES)
-    # A mark that follows itself, as in "!!" or "###".
-    twice = (data[1:] == data[:-1]) & (code[1:] >= 5) & (code[1:] < 10) & (row[1:] == row[:-1])
-    doubled = np.bincount(row[1:][twice], minlength=len(raw))
+    counts, doubled = byte_counts(raw)
     words = np.zeros((len(raw), 5))
     for k, text in enumerate(raw):
         tokens, lines = text.split(), text.split(b"\n")

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartrail.llm.common import in_groups
 from cartrail.llm.quality_qda import held_out
 
 HELD_OUT = (4, 2)
@@ -34,6 +35,7 @@ EPOCHS, BATCH, RATE = 4, 256, 0.01
 # Longer runs of letters are read in pieces.
 PIECE = 24
 KNOWN_WORDS = 150_000
+STRETCH = 1 << 22
 LETTERS = r"[^\W\d_]+"
 
 
@@ -215,6 +217,38 @@ def train(docs: DataFrame) -> Network | None:
     return fit(rows)
 
 
+class Reader:
+    """Labels texts in one task and keeps the sums of the words it has read, within bounds."""
+
+    def __init__(self, network: Network | None):
+        self.network = network
+        self.place: dict[str, int] = {}
+        self.sums = np.zeros((0, 0))
+
+    def label(self, raw: list[bytes]) -> Iterator[tuple[str, float]]:
+        """Language and score of each text."""
+        texts = [words_of(r.decode("utf-8")) for r in raw]
+        if self.network is None:
+            yield from [("und", 0.0)] * len(texts)
+            return
+        if len(self.place) > KNOWN_WORDS:
+            self.place, self.sums = {}, self.sums[:0]
+        new = list({w for words in texts for w in words if w not in self.place})
+        if new:
+            more = [w.encode("utf-8", "surrogatepass") for w in new]
+            table = np.column_stack([self.network.word_sums(more), [len(w) for w in more]])
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+            self.sums = np.vstack([self.sums, table]) if len(self.sums) else table
+        for words in texts:
+            if not words:
+                yield "und", 0.0
+                continue
+            total = self.sums[[self.place[w] for w in words]].sum(axis=0)
+            mean = total[:-1] / total[-1]
+            best = int(mean.argmax())
+            yield self.network.langs[best], min(1.0, float(mean[best]))
+
+
 def language_report(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document.
 
@@ -225,29 +259,13 @@ def language_report(docs: DataFrame) -> DataFrame:
     network = train(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place: dict[str, int] = {}
-        sums = np.zeros((0, 0))
+        reader = Reader(network)
         for batch in batches:
-            texts = [words_of(t.as_py()) for t in batch.column("text")]
-            guess, score = ["und"] * len(texts), np.zeros(len(texts))
-            if network is not None:
-                if len(place) > KNOWN_WORDS:
-                    place, sums = {}, sums[:0]
-                new = list({w for words in texts for w in words if w not in place})
-                if new:
-                    more = [w.encode("utf-8", "surrogatepass") for w in new]
-                    table = np.column_stack([network.word_sums(more), [len(w) for w in more]])
-                    for w in new:
-                        place[w] = len(place)
-                    sums = np.vstack([sums, table]) if len(sums) else table
-                for k, words in enumerate(texts):
-                    if words:
-                        total = sums[[place[w] for w in words]].sum(axis=0)
-                        mean = total[:-1] / total[-1]
-                        best = int(mean.argmax())
-                        guess[k], score[k] = network.langs[best], min(1.0, float(mean[best]))
+            raw = [(t.as_py() or "").encode("utf-8") for t in batch.column("text")]
+            answers = [one for group in in_groups(raw, STRETCH) for one in reader.label(group)]
+            guess, score = zip(*answers) if answers else ((), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(guess, pa.string()), pa.array(score)],
+                [batch.column("doc_id"), pa.array(guess, pa.string()), pa.array(score, pa.float64())],
                 names=["doc_id", "lang_pred", "score"],
             )
 

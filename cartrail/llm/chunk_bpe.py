@@ -29,7 +29,7 @@ CUT_BITS = 8
 # Bytes to look ahead for white space before a cut falls inside a run.
 LOOK_AHEAD = 128
 KNOWN_CHUNKS = 20_000
-KNOWN_RUNS = 300_000
+KNOWN_RUNS = 500_000
 SPACE = b" \t\n\r"
 # Texts are cut in stretches of about this size to bound the hash arrays.
 STRETCH = 1 << 22

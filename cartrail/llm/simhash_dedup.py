@@ -279,6 +279,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         .agg(F.min(rank).alias("k"))
         .select(F.col("k.d").alias("_d"), F.col("k.t").alias("_t"))
     )
-    rows = keyed(docs)
-    stays = rows.join(keep, rows["_doc"].eqNullSafe(keep["_d"]) & (rows["_th"] == keep["_t"]), "left_semi")
-    return stays.dropDuplicates(["_doc", "_th"]).select(*docs.columns)
+    # Joined and deduplicated by the same columns, so texts are shuffled once.
+    name = F.coalesce(F.col("_d").cast("string"), F.lit("~")).alias("_name")
+    keep = keep.select(name, "_t")
+    rows = keyed(docs).withColumn("_name", F.coalesce(F.col("_doc").cast("string"), F.lit("~")))
+    rows = rows.withColumnRenamed("_th", "_t")
+    return rows.join(keep, ["_name", "_t"], "left_semi").dropDuplicates(["_name", "_t"]).select(*docs.columns)

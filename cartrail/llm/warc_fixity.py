@@ -102,7 +102,7 @@ def audit(a: DataFrame, b: DataFrame) -> DataFrame:
     last = F.max("node").alias("n")
     top = max(level.agg(last).first()["n"] or 0 for level in levels[0])
     while top > 0:
-        levels.append(tuple(parents(nodes) for nodes in levels[-1]))
+        levels.append(tuple(stored(parents(nodes)) for nodes in levels[-1]))
         top //= FANOUT
     frontier = differing(*levels[-1])
     for left, right in reversed(levels[:-1]):

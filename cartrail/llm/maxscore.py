@@ -78,7 +78,8 @@ class Postings:
             else:
                 scores[at] += factor * self.values[term]
                 met[at] = True
-        if threshold is None:
+        if threshold is None or left[essential] >= threshold:
+            # Rows in none of the lists can enter too, with a score of zero.
             met[:] = True
         alive = np.flatnonzero(met & (self.ids != own))
         if threshold is not None:

@@ -18,9 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_key(text: str = "text") -> Column:
+def text_key(text: Column) -> Column:
     """A 64-bit digest of a text; null and empty differ."""
-    return F.xxhash64(F.col(text).isNull(), F.col(text))
+    return F.xxhash64(text.isNull(), text)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -28,7 +28,16 @@ def keyed(docs: DataFrame) -> DataFrame:
 
     Rows equal in both are one document to every operator that removes something.
     """
-    return docs.withColumn("_doc", F.col("doc_id")).withColumn("_th", text_key())
+    return docs.withColumn("_doc", F.col("doc_id")).withColumn("_th", text_key(F.col("text")))
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` with columns named by number, and those of doc_id and text.
+
+    Whatever the columns were called, they clash with no working column.
+    """
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    return docs.toDF(*names), names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
 
 
 def lookup_by_key(rows: DataFrame, found: DataFrame, key: list[str], count: str, total: int) -> DataFrame:

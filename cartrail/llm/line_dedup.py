@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartrail.llm.common import HEAVY_KEYS, keyed, stored
+from cartrail.llm.common import HEAVY_KEYS, keyed, numbered, stored, text_key
 
 MIN_WORDS = 8
 # A sentence with its end marks; the sentences of a line cover all of it.
@@ -140,25 +140,24 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .groupBy(F.col("doc_id").alias("_sdoc"), F.col("_th").alias("_sth"))
         .agg(F.sort_array(F.collect_list(F.struct("start", "n_chars"))).alias("_spans"))
     )
-    rows = keyed(docs)
+    rows, doc, text = numbered(docs)
     joined = rows.join(
-        spans, rows["_doc"].eqNullSafe(spans["_sdoc"]) & (rows["_th"] == spans["_sth"]), "left"
-    )
-    names = docs.columns
+        spans, rows[doc].eqNullSafe(spans["_sdoc"]) & (text_key(rows[text]) == spans["_sth"]), "left"
+    ).select(*rows.columns, "_spans")
+    names = rows.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column(text).to_pylist()
             for k, found in enumerate(batch.column("_spans").to_pylist()):
                 if found:
                     texts[k] = without_spans(texts[k], [(s["start"], s["n_chars"]) for s in found])
             columns = [
-                pa.array(texts, batch.schema.field("text").type) if n == "text" else batch.column(n)
-                for n in names
+                pa.array(texts, batch.schema.field(text).type) if n == text else batch.column(n) for n in names
             ]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.select(*names, "_spans").mapInArrow(cut, docs.schema)
+    return joined.mapInArrow(cut, rows.schema).toDF(*docs.columns)
 
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:

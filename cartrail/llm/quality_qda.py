@@ -203,19 +203,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Discriminant | None:
     return fit(table[:, 0, 0], table[:, 0, 1:], table[:, 1:, 1:])
 
 
-def scored(docs: DataFrame, model: Discriminant | None, columns: list[str]) -> DataFrame:
-    """The given columns and ``_score``; without a model all texts score one half."""
-    schema = docs.select(*columns).schema.add("_score", "double")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            score = np.full(len(texts), 0.5) if model is None else model.score(statistics(texts))
-            arrays = [batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(score)], names=[*columns, "_score"])
-
-    names = list(dict.fromkeys([*columns, "text"]))
-    return docs.select(*names).mapInArrow(run, schema)
+def scores(model: Discriminant | None, texts: list[str | None]) -> np.ndarray:
+    """The score of each text; without a model all score one half."""
+    return np.full(len(texts), 0.5) if model is None else model.score(statistics(texts))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -224,16 +214,29 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts have the statistics of no bytes and are scored so.
     Repeated rows are scored each; an empty table gives no rows.
     """
-    rows = scored(docs, train(docs, labels), ["doc_id"])
-    return rows.select(
+    model = train(docs, labels)
+    schema = docs.select("doc_id").schema.add("score", "double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = pa.array(scores(model, batch.column("text").to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), score], names=["doc_id", "score"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema).select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
-        F.col("_score").alias("score"),
-        (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"),
+        "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those the model rejects."""
-    rows = scored(docs, train(docs, labels), docs.columns)
-    return rows.filter(F.col("_score") >= THRESHOLD).drop("_score")
+    model = train(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = scores(model, batch.column("text").to_pylist())
+            yield batch.filter(pa.array(score >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartrail.llm.common import keyed, lookup_by_key, stored
+from cartrail.llm.common import keyed, lookup_by_key, numbered, stored, text_key
 
 RADIUS = 3
 SHINGLE_WORDS = 3
@@ -280,8 +280,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         .select(F.col("k.d").alias("_d"), F.col("k.t").alias("_t"))
     )
     # Joined and deduplicated by the same columns, so texts are shuffled once.
-    name = F.coalesce(F.col("_d").cast("string"), F.lit("~")).alias("_name")
-    keep = keep.select(name, "_t")
-    rows = keyed(docs).withColumn("_name", F.coalesce(F.col("_doc").cast("string"), F.lit("~")))
-    rows = rows.withColumnRenamed("_th", "_t")
-    return rows.join(keep, ["_name", "_t"], "left_semi").dropDuplicates(["_name", "_t"]).select(*docs.columns)
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("~")).alias("_name")
+    keep = keep.select(name("_d"), "_t")
+    rows, doc, text = numbered(docs)
+    rows = rows.select("*", name(doc), text_key(F.col(text)).alias("_t"))
+    kept = rows.join(keep, ["_name", "_t"], "left_semi").dropDuplicates(["_name", "_t"])
+    return kept.drop("_name", "_t").toDF(*docs.columns)

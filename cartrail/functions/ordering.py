@@ -28,7 +28,6 @@ PART = "_part"
 
 # Sampled rows that a key at the threshold is expected to show.
 SAMPLE_ROWS_AT_THRESHOLD = 1000
-MAX_HOT_KEYS = 10_000
 # Copies of one row that a single task may write out again.
 COPIES_PER_TASK = 10_000
 
@@ -37,8 +36,8 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int) -> list:
     """Keys with about ``hot_rows`` rows or more, largest first.
 
     A planning statistic: row counts per key are estimated from a sample, as a
-    range partitioner does for its bounds. At most MAX_HOT_KEYS values reach
-    the driver; any further ones stay on the ordinary route.
+    range partitioner does for its bounds. There are at most as many such keys
+    as ``hot_rows`` goes into the rows of the table.
     """
     fraction = min(1.0, SAMPLE_ROWS_AT_THRESHOLD / hot_rows)
     keys = df.select(key).dropna()
@@ -47,7 +46,6 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int) -> list:
     top = (
         counts.filter(F.col("n") >= F.lit(hot_rows * fraction))
         .orderBy(F.col("n").desc(), key)
-        .limit(MAX_HOT_KEYS)
     )
     return [row[0] for row in top.collect()]
 

@@ -10,8 +10,7 @@ from cartrail.functions.lookup import MAX_LOOKUP_ROWS, settled
 from cartrail.operators.traces import transitions
 from cartrail.spec import EventLog
 
-# Most sources of an exact run, seed of the source draw, ranking size.
-MAX_PIVOTS = 500
+# Seed of the source draw, ranking size.
 PIVOT_SEED = 42
 TOP_BOTTLENECKS = 10
 
@@ -46,23 +45,27 @@ def graph_nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("activity")).distinct()
 
 
-def betweenness(edges: DataFrame, max_pivots: int = MAX_PIVOTS, seed: int = PIVOT_SEED) -> DataFrame:
+def betweenness(
+    edges: DataFrame, max_pivots: int | None = None, seed: int = PIVOT_SEED
+) -> DataFrame:
     """Betweenness of each activity: directed, unweighted, normalised.
 
     Breadth-first search from every source at once, one round per distance,
     then shares passed back one distance at a time. The tables hold at most
-    sources x activities rows and are written every round. Above ``max_pivots``
-    activities a seeded choice of sources stands for all, scaled up.
+    sources x activities rows and are written every round. Exact, unless the
+    caller asks for ``max_pivots``: then a seeded choice of so many sources
+    stands for all, scaled up.
     """
     links = settled(edges.filter(F.col("src") != F.col("dst")).select("src", "dst").distinct())
     nodes = settled(graph_nodes(edges))
     n = nodes.count()
     # A small graph's rounds are held as literal rows, a large one's written out.
-    keep = settled if n * min(n, max_pivots) <= MAX_LOOKUP_ROWS else durable
+    pivots = n if max_pivots is None else min(n, max_pivots)
+    keep = settled if n * pivots <= MAX_LOOKUP_ROWS else durable
     sources = nodes
-    if n > max_pivots:
+    if pivots < n:
         draw = F.md5(F.concat_ws(":", F.lit(str(seed)), "activity"))
-        sources = nodes.orderBy(draw, "activity").limit(max_pivots)
+        sources = nodes.orderBy(draw, "activity").limit(pivots)
 
     frontier = sources.select(
         F.col("activity").alias("source"),
@@ -109,7 +112,7 @@ def betweenness(edges: DataFrame, max_pivots: int = MAX_PIVOTS, seed: int = PIVO
 
     scale = 1.0
     if n > 2:
-        scale = 1.0 / ((n - 1) * (n - 2)) * max(1.0, n / max_pivots)
+        scale = 1.0 / ((n - 1) * (n - 2)) * n / pivots
     total = shares[0] if shares else levels[0].select("node", F.lit(0.0).alias("share"))
     for part in shares[1:]:
         total = total.unionByName(part)

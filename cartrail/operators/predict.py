@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartrail.functions.durable import durable
-from cartrail.functions.lookup import MAX_LOOKUP_ROWS, small_lookup
-from cartrail.operators.traces import activity_vocabulary
+from cartrail.functions.lookup import small_lookup
+from cartrail.operators.traces import activity_vocabulary, next_activity_pairs
 from cartrail.spec import EventLog
 
 # Look-back of the model, number of suggestions, seed.
@@ -125,20 +128,23 @@ def score_tails(tails: DataFrame, model: DataFrame, top: int = SUGGESTIONS) -> D
 
 
 def known_only(sequences: DataFrame, vocabulary: DataFrame, column: str = "sequence") -> DataFrame:
-    """Drop activities outside the vocabulary; order and repeats stay."""
-    names = [r[0] for r in vocabulary.select("activity").limit(MAX_LOOKUP_ROWS + 1).collect()]
-    if len(names) <= MAX_LOOKUP_ROWS:
-        return sequences.withColumn(column, F.filter(column, lambda x: x.isin(names)))
-    steps = sequences.select("seq_id", F.posexplode(column).alias("pos", "activity"))
+    """Drop activities outside the vocabulary; order and repeats stay.
+
+    Every row keeps its own sequence, whatever its other columns hold: steps are
+    looked up as rows under a key generated for the row.
+    """
+    rows = durable(sequences.withColumn("_row", F.monotonically_increasing_id()))
+    steps = rows.select("_row", F.posexplode(column).alias("pos", "activity"))
     kept = (
-        steps.join(vocabulary.select("activity"), "activity")
-        .groupBy("seq_id")
+        steps.join(small_lookup(vocabulary.select("activity")), "activity")
+        .groupBy("_row")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "activity")))["activity"].alias("_kept"))
     )
+    none = F.array().cast("array<string>")
     return (
-        sequences.join(kept, "seq_id", "left")
-        .withColumn(column, F.coalesce("_kept", F.array().cast("array<string>")))
-        .drop("_kept")
+        rows.join(kept, "_row", "left")
+        .withColumn(column, F.coalesce("_kept", none))
+        .drop("_row", "_kept")
     )
 
 
@@ -152,25 +158,53 @@ def predict_next(
     """Suggestions (seq_id, rank, activity, prob) for sequences (seq_id, sequence).
 
     ``model`` is read several times: pass a stored table, not a fresh plan.
-    A sequence without any known activity gets no rows; see ``unanswered``.
-    Equal tails are scored once.
+    Unknown activities are dropped from the whole sequence before its end is
+    taken. A sequence without any known one gets no rows; see ``unanswered``.
     """
-    tails = (
-        known_only(sequences, vocabulary)
-        .filter(F.size("sequence") > 0)
-        .select(
-            "seq_id",
-            _tail(F.col("sequence"), F.least(F.size("sequence"), F.lit(max_len))).alias("tail"),
-        )
+    known = known_only(sequences, vocabulary)
+    tail = _tail(F.col("sequence"), F.least(F.size("sequence"), F.lit(max_len)))
+    return predict_tails(known.select("seq_id", tail.alias("sequence")), model, top)
+
+
+def predict_tails(tails: DataFrame, model: DataFrame, top: int = SUGGESTIONS) -> DataFrame:
+    """Suggestions for the ends (seq_id, sequence) of sequences of known activities.
+
+    Equal tails are scored once. Their sequences are dealt over parts of each
+    tail, because a short tail may belong to a large share of all sequences.
+    """
+    parts = 16
+    asked = tails.filter(F.size("sequence") > 0).select(
+        "seq_id", F.col("sequence").alias("tail"), F.pmod(F.xxhash64("seq_id"), F.lit(parts)).alias("_part")
     )
-    scored = score_tails(tails.select("tail").distinct(), model, top)
+    scored = score_tails(asked.select("tail").distinct(), model, top)
+    dealt = scored.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
     return (
-        tails.join(scored, "tail")
+        asked.join(dealt, ["tail", "_part"])
         .select("seq_id", F.explode("best").alias("b"))
         .select("seq_id", "b.rank", "b.activity", "b.prob")
     )
 
 
+def known_tails(log: EventLog, vocabulary: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
+    """(seq_id, sequence): the last ``max_len`` known activities of each case that has one."""
+    s = log.spec
+    known = small_lookup(vocabulary.select(F.col("activity").alias(s.activity)))
+    return case_tails(replace(log, df=log.df.join(known, s.activity, "left_semi")), max_len)
+
+
+def unanswered_cases(log: EventLog, vocabulary: DataFrame) -> DataFrame:
+    """Cases without any known activity, with the reason."""
+    s = log.spec
+    known = small_lookup(vocabulary.select(F.col("activity").alias(s.activity), F.lit(1).alias("_known")))
+    return (
+        log.df.join(known, s.activity, "left")
+        .groupBy(F.col(s.case).alias("seq_id"))
+        .agg(F.max("_known").alias("_known"))
+        .filter(F.col("_known").isNull())
+        .select("seq_id", F.lit("no known activity").alias("reason"))
+    )
+
+
 def unanswered(sequences: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Sequences that get no suggestion, with the reason."""
     was_empty = F.coalesce(F.size("sequence"), F.lit(0)) <= 0
@@ -227,41 +261,40 @@ def next_activity_accuracy(log: EventLog, max_len: int = MAX_LEN) -> DataFrame:
     )
 
 
-def _classifier_rows(log: EventLog, max_len: int) -> tuple[DataFrame, int]:
-    """Pairs as numeric columns s0..sN (0 pads) and label; and the number of activities."""
-    vocabulary = small_lookup(activity_vocabulary(log))
-    size = vocabulary.count()
-    pairs = contexts(log, max_len)
-    names = F.array(*[F.lit(r["activity"]) for r in vocabulary.orderBy("id").collect()])
-    ids = F.transform("context", lambda a: F.array_position(names, a))
-    padded = F.concat(
-        F.array_repeat(F.lit(0).cast("bigint"), F.lit(max_len) - F.size("context")), ids
-    )
-    rows = pairs.select(
-        "case_id",
-        padded.alias("x"),
-        (F.array_position(names, F.col("next")) - 1).cast("double").alias("label"),
-    )
-    slots = [F.col("x")[i].cast("double").alias(f"s{i}") for i in range(max_len)]
-    return rows.select("case_id", "label", *slots), size
+# Labelled rows that a network is fitted on at most, picked by a hash of the case.
+MAX_FIT_ROWS = 5_000_000
+
+
+def _slots(x: str, max_len: int) -> list[Column]:
+    return [F.col(x)[i].cast("double").alias(f"s{i}") for i in range(max_len)]
 
 
 def train_classifier(
-    log: EventLog, max_len: int = MAX_LEN, max_iter: int = 30, hidden: int = 64
+    log: EventLog,
+    max_len: int = MAX_LEN,
+    max_iter: int = 30,
+    hidden: int = 64,
+    max_rows: int = MAX_FIT_ROWS,
 ) -> tuple[PipelineModel, DataFrame]:
-    """A fitted network on one-hot slots of the last activities, and its held-out rows."""
-    rows, size = _classifier_rows(log, max_len)
+    """A fitted network on one-hot slots of the last activities, and its held-out rows.
+
+    Fitted on about ``max_rows`` rows of whole cases at most; all held-out rows
+    are returned.
+    """
+    pairs = next_activity_pairs(log, max_len)
+    size = activity_vocabulary(log).count()
+    rows = pairs.select("case_id", (F.col("y") - 1).cast("double").alias("label"), *_slots("x", max_len))
     # Training passes over the rows once per iteration: keep every core busy
     # even where small shuffles have been merged into few partitions.
     rows = durable(rows.repartition(log.df.sparkSession.sparkContext.defaultParallelism))
+    share = min(1.0, max_rows / max(1, rows.count()))
+    drawn = F.pmod(F.xxhash64("case_id"), F.lit(1_000_000)) < share * 1_000_000
     held = in_holdout(F.col("case_id"))
     slots = [f"s{i}" for i in range(max_len)]
     encoded = [f"v{i}" for i in range(max_len)]
     # One reference row per id fixes the width of every slot.
-    widths = log.df.sparkSession.createDataFrame(
-        [tuple([float(i)] * max_len) for i in range(size + 1)],
-        ", ".join(f"{c} double" for c in slots),
-    )
+    ids = log.df.sparkSession.range(size + 1)
+    widths = ids.select(*[F.col("id").cast("double").alias(c) for c in slots])
     encoder = OneHotEncoder(inputCols=slots, outputCols=encoded, dropLast=False).fit(widths)
     stages = Pipeline(
         stages=[
@@ -276,7 +309,39 @@ def train_classifier(
             ),
         ]
     )
-    return stages.fit(rows.filter(~held)), rows.filter(held)
+    return stages.fit(rows.filter(~held & drawn)), rows.filter(held)
+
+
+def classifier_suggestions(
+    model: PipelineModel,
+    tails: DataFrame,
+    vocabulary: DataFrame,
+    max_len: int = MAX_LEN,
+    top: int = SUGGESTIONS,
+) -> DataFrame:
+    """(seq_id, rank, activity, prob) by a fitted network for the ends of sequences.
+
+    ``tails`` (seq_id, sequence) hold known activities only, as from
+    ``known_tails``; ``vocabulary`` is that of the log the model was fitted on.
+    """
+    ids = small_lookup(vocabulary.select("activity", (F.col("id") + 1).alias("id")))
+    rows = durable(tails.filter(F.size("sequence") > 0).withColumn("_row", F.monotonically_increasing_id()))
+    coded = (
+        rows.select("_row", F.posexplode("sequence").alias("pos", "activity"))
+        .join(ids, "activity")
+        .groupBy("_row")
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "id")))["id"].alias("x"))
+    )
+    padding = F.array_repeat(F.lit(0).cast("bigint"), F.lit(max_len) - F.size("x"))
+    slotted = rows.join(coded.withColumn("x", F.concat(padding, "x")), "_row").select("seq_id", *_slots("x", max_len))
+    scored = model.transform(slotted).select("seq_id", vector_to_array("probability").alias("p"))
+    ranked = F.slice(
+        F.array_sort(F.transform("p", lambda p, i: F.struct((-p).alias("minus"), i.cast("bigint").alias("at")))), 1, top
+    )
+    best = scored.select("seq_id", F.posexplode(ranked).alias("rank", "b"))
+    return best.join(ids, F.col("b.at") + 1 == F.col("id")).select(
+        "seq_id", (F.col("rank") + 1).cast("bigint").alias("rank"), "activity", (-F.col("b.minus")).alias("prob")
+    )
 
 
 def classifier_accuracy(log: EventLog, max_len: int = MAX_LEN, max_iter: int = 30) -> DataFrame:

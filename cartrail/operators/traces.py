@@ -201,7 +201,7 @@ def case_paths(log: EventLog, collapse: bool = True, max_text_steps: int = MAX_T
     paths = _whole_paths(seq.cold, log, max_text_steps)
     if seq.hot is None:
         return paths
-    # Hot cases may be short once repeats are gone. At most MAX_HOT_KEYS rows.
+    # Hot cases may be short once repeats are gone. One row per hot case.
     case = log.spec.case
     lengths = seq.hot.groupBy(case).agg(F.count(F.lit(1)).alias("_length"))
     short = F.broadcast(lengths.filter(F.col("_length") <= max_text_steps))

@@ -76,7 +76,7 @@ GRAPH = (
     SESSIONS
     + """,
 acts AS (
-  SELECT event_id, ts, user_session, event_type || ':' || CAST(k // 20 AS VARCHAR) AS a
+  SELECT event_id, ts, user_session, event_type || ':' || CAST(k // 5 AS VARCHAR) AS a
   FROM visits),
 pairs AS (
   SELECT lag(a) OVER (PARTITION BY user_session ORDER BY ts, event_id) AS src, a AS dst,
@@ -84,9 +84,7 @@ pairs AS (
 edges AS (
   SELECT src, dst, count(*) AS w, min((user_session, ts, event_id)) AS first
   FROM pairs WHERE src IS NOT NULL GROUP BY src, dst),
-kept AS (
-  SELECT e.src, e.dst, e.first FROM edges e LEFT JOIN edges b ON b.src = e.dst AND b.dst = e.src
-  WHERE e.w > coalesce(b.w, 0)),
+kept AS (SELECT src, dst, first FROM edges WHERE src <> dst),
 nodes AS (SELECT src AS a FROM kept UNION SELECT dst FROM kept),
 walks AS (
   SELECT a AS s, a AS v, 0 AS d FROM nodes
@@ -515,14 +513,11 @@ FROM log WHERE event_type = 'remove_from_cart'""",
         "SELECT array_to_string(context, ',') AS context, length, next, n, prob FROM model",
     ),
     "predict_next": _sql(
-        f"{SHOP.replace('log AS (', 'whole AS (')},\nlog AS (SELECT * FROM whole WHERE event_type <> 'signup')"
-        + CONTEXTS[len(SHOP) :]
+        CONTEXTS
         + f""",{_model('pairs')},
-sequences AS (
-  SELECT user_session AS seq_id, list(event_type ORDER BY event_time, event_id)[-50:] AS sequence
-  FROM whole GROUP BY user_session),
 tails AS (
-  SELECT seq_id, list_filter(sequence, lambda x: x <> 'signup')[-20:] AS tail FROM sequences),
+  SELECT user_session AS seq_id, list(event_type ORDER BY event_time, event_id)[-20:] AS tail
+  FROM log WHERE event_id % 7 <> 0 GROUP BY user_session),
 tried AS (
   SELECT seq_id, tail, unnest(range(0, len(tail) + 1)) AS l FROM tails WHERE len(tail) > 0),
 hits AS (
@@ -531,6 +526,11 @@ hits AS (
   GROUP BY t.seq_id)""",
         """SELECT h.seq_id, r.rank, r.next AS activity, r.prob
 FROM hits h JOIN ranked r ON r.context = h.tail[len(h.tail) - h.l + 1:] WHERE r.rank <= 3""",
+    ),
+    "unanswered": _sql(
+        SHOP,
+        """SELECT user_session AS seq_id, 'no known activity' AS reason FROM log
+GROUP BY user_session HAVING bool_and(event_id % 7 = 0)""",
     ),
     "next_activity_accuracy": _sql(
         CONTEXTS
@@ -556,3 +556,40 @@ guess AS (
 FROM held LEFT JOIN guess USING (tail)""",
     ),
 }
+
+
+def _facts() -> str:
+    """Section, rank, key and value of the report's facts, from the queries above."""
+    graph = GRAPH.replace(
+        "event_type || ':' || CAST(k // 5 AS VARCHAR) AS a",
+        "CASE event_type WHEN 'click' THEN 'cart' WHEN 'error' THEN 'remove_from_cart' ELSE event_type END AS a",
+    )
+    bottlenecks = ORACLE["bottlenecks"].replace(GRAPH, graph).replace("LIMIT 10", "LIMIT 3")
+    unpivot = (
+        "SELECT '{0}' AS section, row_number() OVER () AS rank, name AS key, round(v, 6) AS value "
+        "FROM (UNPIVOT (SELECT COLUMNS(*)::DOUBLE FROM ({1})) ON COLUMNS(*) INTO NAME name VALUE v)"
+    )
+    return "\nUNION ALL\n".join(
+        [
+            "SELECT 'important_steps' AS section, row_number() OVER (ORDER BY events DESC, activity) AS rank, "
+            f"activity AS key, round(share, 6) AS value FROM ({ORACLE['important_steps']})",
+            f"SELECT 'bottlenecks', rank, activity, round(betweenness, 6) FROM ({bottlenecks})",
+            f"SELECT 'top_paths', rank, path, cases::DOUBLE FROM ({ORACLE['top_paths']})",
+            unpivot.format("kpis", ORACLE["kpis"]),
+            unpivot.format("metrics", ORACLE["metrics"]),
+        ]
+    )
+
+
+ORACLE["insight_context"] = _facts()
+ORACLE["report_json"] = (
+    _facts()
+    + f"""
+UNION ALL SELECT 'sizes', 1, 'sample_size_used', count(*)::DOUBLE FROM events
+UNION ALL SELECT 'sizes', 2, 'event_log', count(*)::DOUBLE FROM ({ORACLE['event_log_preview']})"""
+)
+ORACLE["classifier_suggestions"] = _sql(
+    SHOP,
+    """SELECT user_session AS seq_id, 3::INTEGER AS suggestions, 3::INTEGER AS activities, true AS in_order
+FROM log WHERE event_id % 7 <> 0 GROUP BY user_session""",
+)

@@ -108,9 +108,8 @@ def next_activity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("case_id", F.array_join("x", ",").alias("x"), "y")
 
 
-def _oriented_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = bindings.graph_log(spark, sf_dir)
-    return settled(graph.oriented(graph.activity_graph(log, collapse=False)))
+def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settled(graph.activity_graph(bindings.graph_log(spark, sf_dir)))
 
 
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,12 +117,12 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = graph.betweenness(_oriented_edges(spark, sf_dir))
+    scored = graph.betweenness(_graph(spark, sf_dir))
     return scored.withColumn("betweenness", F.round("betweenness", 6))
 
 
 def bottlenecks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = graph.bottlenecks(_oriented_edges(spark, sf_dir))
+    ranked = graph.bottlenecks(_graph(spark, sf_dir))
     return ranked.withColumn("betweenness", F.round("betweenness", 6))
 
 
@@ -133,16 +132,73 @@ def ngram_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predict_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score the end of every session by a model that has never seen a signup."""
+    """Score the end of every session; a seventh of the steps has a name the model does not know."""
     log = bindings.session_log(spark, sf_dir)
-    known = EventLog(
-        log.df.filter(F.col(log.spec.activity) != "signup"), log.spec, log.hot_rows
+    model = durable(predict.train_ngram(log))
+    tails = predict.known_tails(_with_unknown_steps(log), traces.activity_vocabulary(log))
+    return predict.predict_tails(tails, model)
+
+
+def unanswered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = bindings.session_log(spark, sf_dir)
+    return predict.unanswered_cases(_with_unknown_steps(log), traces.activity_vocabulary(log))
+
+
+def _with_unknown_steps(log: EventLog) -> EventLog:
+    s = log.spec
+    name = F.when(F.col("event_id") % 7 == 0, "unheard").otherwise(F.col(s.activity))
+    return EventLog(log.df.withColumn(s.activity, name), s, log.hot_rows)
+
+
+
+def _rounded(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("value", F.round("value", 6))
+
+
+def insight_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts of the report, one per row."""
+    return _rounded(report.insight_rows(report.insight_context(bindings.shop_log(spark, sf_dir))))
+
+
+def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts again, read out of the report's JSON text."""
+    log = bindings.shop_log(spark, sf_dir)
+    text = durable(report.report_json(log))
+    kinds = {f.name: f.dataType.simpleString() for f in report.insight_context(log).schema}
+    schema = (
+        "struct<sample_size_used:bigint,event_log:array<struct<event_type:string>>,"
+        f"important_steps:{kinds['important_steps']},bottlenecks:{kinds['bottlenecks']},"
+        f"top_paths:{kinds['top_paths']},ecommerce:struct<kpis:{kinds['kpis']},metrics:{kinds['metrics']}>>"
+    )
+    parsed = text.select(F.from_json(F.col(text.columns[0]), schema).alias("d"))
+    facts = parsed.select(
+        "d.important_steps", "d.bottlenecks", "d.top_paths", "d.ecommerce.kpis", "d.ecommerce.metrics"
+    )
+    sizes = F.array(
+        F.struct(F.lit("sample_size_used").alias("key"), F.col("d.sample_size_used").cast("double").alias("value")),
+        F.struct(F.lit("event_log").alias("key"), F.size("d.event_log").cast("double").alias("value")),
+    )
+    counted = parsed.select(F.posexplode(sizes).alias("at", "x")).select(
+        F.lit("sizes").alias("section"), (F.col("at") + 1).cast("bigint").alias("rank"), "x.key", "x.value"
     )
-    model = durable(predict.train_ngram(known))
-    vocabulary = traces.activity_vocabulary(known)
-    return predict.predict_next(predict.case_tails(log, 50), model, vocabulary)
+    return _rounded(report.insight_rows(facts).unionByName(counted))
 
 
+def classifier_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many suggestions each session gets from the fitted network, and whether they are in order."""
+    log = bindings.session_log(spark, sf_dir)
+    vocabulary = durable(traces.activity_vocabulary(log))
+    model, _ = predict.train_classifier(log, max_iter=5)
+    tails = predict.known_tails(_with_unknown_steps(log), vocabulary)
+    best = predict.classifier_suggestions(model, tails, vocabulary)
+    ranked = F.array_sort(F.collect_list(F.struct("rank", "activity", "prob")))
+    falling = F.forall(
+        F.sequence(F.lit(1), F.size("b") - 1), lambda k: F.col("b")[k - 1]["prob"] >= F.col("b")[k]["prob"]
+    )
+    return best.groupBy("seq_id").agg(ranked.alias("b")).select(
+        "seq_id", F.size("b").alias("suggestions"), F.size(F.array_distinct("b.activity")).alias("activities"), falling.alias("in_order")
+    )
+
 
 def _metrics(log: EventLog) -> DataFrame:
     rates = commerce.metrics(log)
@@ -215,11 +271,13 @@ QUERIES: dict[str, Query] = {
     # next activity
     "ngram_model": ngram_model,
     "predict_next": predict_next,
+    "unanswered": unanswered,
     "next_activity_accuracy": _session(predict.next_activity_accuracy),
+    "classifier_suggestions": classifier_suggestions,
     "mlp_next_activity": _session(predict.classifier_accuracy),
     # report
-    "insight_context": _shop(report.insight_context),
-    "report_json": _shop(report.report_json),
+    "insight_context": insight_context,
+    "report_json": report_json,
 }
 
 

@@ -45,6 +45,33 @@ def insight_context(log: EventLog) -> DataFrame:
     )
 
 
+def insight_rows(context: DataFrame) -> DataFrame:
+    """The same facts one per row: section, rank, key and value."""
+
+    def listed(section: str, key: str, value: str) -> DataFrame:
+        return context.select(F.posexplode(section).alias("at", "x")).select(
+            F.lit(section).alias("section"),
+            (F.col("at") + 1).cast("bigint").alias("rank"),
+            F.col(f"x.{key}").alias("key"),
+            F.col(f"x.{value}").cast("double").alias("value"),
+        )
+
+    def named(section: str) -> DataFrame:
+        names = context.schema[section].dataType.names
+        facts = [F.struct(F.lit(n).alias("key"), F.col(f"{section}.{n}").cast("double").alias("value")) for n in names]
+        return context.select(F.posexplode(F.array(*facts)).alias("at", "x")).select(
+            F.lit(section).alias("section"), (F.col("at") + 1).cast("bigint").alias("rank"), "x.key", "x.value"
+        )
+
+    return (
+        listed("important_steps", "activity", "share")
+        .unionByName(listed("bottlenecks", "activity", "betweenness"))
+        .unionByName(listed("top_paths", "path", "cases"))
+        .unionByName(named("kpis"))
+        .unionByName(named("metrics"))
+    )
+
+
 def report_tables(log: EventLog) -> dict[str, DataFrame]:
     """Every table of the analysis by name."""
     edges = graph.activity_graph(log)

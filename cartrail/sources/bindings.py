@@ -127,7 +127,7 @@ def graph_log(spark: SparkSession, sf_dir: str, hot_rows: int = DEFAULT_HOT_ROWS
         df = _sessions(spark, sf_dir, hot_rows).select(
             "event_id",
             F.col("ts").alias("event_time"),
-            F.concat_ws(":", "event_type", F.floor(F.col("k") / 20)).alias("event_type"),
+            F.concat_ws(":", "event_type", F.floor(F.col("k") / 5)).alias("event_type"),
             "user_id",
             "user_session",
         )

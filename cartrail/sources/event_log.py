@@ -5,30 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartrail.functions.durable import utc
 from cartrail.spec import EventLog, LogSpec
 
-# Fixed values of the log format: required columns, time format, default text.
-LOG_COLUMNS = [
-    "event_time",
-    "event_type",
-    "product_id",
-    "category_code",
-    "category_id",
-    "brand",
-    "price",
-    "user_id",
-    "user_session",
-]
-TIME_FORMAT = "yyyy-MM-dd HH:mm:ss 'UTC'"
+# Fixed values of the log format: time pattern, default text.
+TIME_PATTERN = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2} UTC$"
 UNKNOWN = "Unknown"
 
 FORMATS = ("csv", "parquet", "orc", "json")
 
 
+def log_columns(spec: LogSpec = LogSpec()) -> list[str]:
+    """The columns a log must have, by the names of the spec."""
+    return [
+        spec.time, spec.activity, spec.product, spec.category, spec.category_id,
+        spec.brand, spec.price, spec.user, spec.case,
+    ]
+
+
 def parse_log_time(text: Column) -> Column:
-    """``2019-10-01 00:00:09 UTC`` to a zone-less timestamp; null if it does not match."""
-    return F.try_to_timestamp(text, F.lit(TIME_FORMAT)).cast("timestamp_ntz")
+    """``2024-03-04 00:00:09 UTC`` to a zone-less timestamp; null if it does not match."""
+    return F.when(text.rlike(TIME_PATTERN), F.substring(text, 1, 19)).try_cast("timestamp_ntz")
 
 
 def scientific_to_long(text: Column) -> Column:
@@ -40,41 +36,47 @@ def fill_defaults(df: DataFrame, columns: tuple[str, ...] = ("brand", "category_
     return df.na.fill(UNKNOWN, subset=list(columns))
 
 
-def csv_scan(spark: SparkSession, path: str) -> DataFrame:
+def csv_scan(spark: SparkSession, path: str, spec: LogSpec = LogSpec()) -> DataFrame:
     """The nine log columns of a headed CSV as text, picked by name.
 
+    A quote inside quotes is doubled. A line with more or fewer fields than the
+    header is an error; so is a quoted field with a line end in it, because
+    lines are what large files are split at.
+
     Files of one folder must agree on their header; ``enforceSchema`` off makes
     a file with another column order an error instead of mixed-up columns.
     """
     reader = spark.read.option("header", True).option("enforceSchema", False)
-    return reader.csv(path).select(*LOG_COLUMNS)
+    # Without pruning each line is read whole, so its fields can be counted.
+    strict = reader.option("escape", '"').option("mode", "FAILFAST").option("columnPruning", False)
+    return strict.csv(path).select(*log_columns(spec))
 
 
-def canonical(raw: DataFrame) -> DataFrame:
+def canonical(raw: DataFrame, spec: LogSpec = LogSpec()) -> DataFrame:
     """Typed log: strict numbers, lenient time and category id, default texts.
 
     Rows whose time cannot be parsed are dropped. Columns that already have
     their type, as in a parquet log, pass through the same casts unchanged.
     """
     types = dict(raw.dtypes)
-    time = F.col("event_time")
-    if types["event_time"] == "string":
+    time = F.col(spec.time)
+    if types[spec.time] == "string":
         time = parse_log_time(time)
-    category_id = F.col("category_id")
-    if types["category_id"] != "bigint":
+    category_id = F.col(spec.category_id)
+    if types[spec.category_id] != "bigint":
         category_id = scientific_to_long(category_id)
     typed = raw.select(
-        time.cast("timestamp_ntz").alias("event_time"),
-        "event_type",
-        F.col("product_id").cast("bigint").alias("product_id"),
-        "category_code",
-        category_id.alias("category_id"),
-        "brand",
-        F.col("price").cast("double").alias("price"),
-        F.col("user_id").cast("bigint").alias("user_id"),
-        "user_session",
+        time.cast("timestamp_ntz").alias(spec.time),
+        spec.activity,
+        F.col(spec.product).cast("bigint").alias(spec.product),
+        spec.category,
+        category_id.alias(spec.category_id),
+        spec.brand,
+        F.col(spec.price).cast("double").alias(spec.price),
+        F.col(spec.user).cast("bigint").alias(spec.user),
+        spec.case,
     )
-    return fill_defaults(typed.filter(F.col("event_time").isNotNull()))
+    return fill_defaults(typed.filter(F.col(spec.time).isNotNull()), (spec.brand, spec.category))
 
 
 def load_event_log(
@@ -85,13 +87,12 @@ def load_event_log(
         raise ValueError(f"unsupported log format {fmt!r}; use one of {', '.join(FORMATS)}")
     last = path.rstrip("/").rsplit("/", 1)[-1]
     if fmt == "csv" and "." in last and not last.lower().endswith(".csv"):
-        raise ValueError("only .csv files are supported")
-    utc(spark)
+        raise ValueError(f"{last!r} does not end in .csv; name another format with fmt=")
     if fmt == "csv":
-        raw = csv_scan(spark, path)
+        raw = csv_scan(spark, path, spec)
     else:
-        raw = spark.read.format(fmt).load(path).select(*LOG_COLUMNS)
-    return EventLog(canonical(raw), spec)
+        raw = spark.read.format(fmt).load(path).select(*log_columns(spec))
+    return EventLog(canonical(raw, spec), spec)
 
 
 def normalized(log: EventLog) -> DataFrame:

@@ -31,6 +31,7 @@ class LogSpec:
     cart: str = "cart"
     remove: str = "remove_from_cart"
     purchase: str = "purchase"
+    category_id: str = "category_id"
     # Equal times inside a case are ordered by these columns.
     ties: tuple[str, ...] = ("event_type", "product_id")
 

@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.join(ROOT, "tools"))
 from cartrail import EventLog, LogSpec  # noqa: E402
 from cartrail.sources.event_log import load_event_log  # noqa: E402
 
-CLICKS = os.path.join(ROOT, "tests", "data", "clickstream_45.csv")
+CLICKS = os.path.join(ROOT, "tests", "data", "clicks_25.csv")
 TINY = LogSpec(case="case", activity="act", time="t", ties=())
 
 
@@ -32,7 +32,7 @@ def spark():
 
 @pytest.fixture(scope="session")
 def clicks(spark):
-    """The 45-row sample log."""
+    """The sample log: 8 sessions, 25 rows."""
     log = load_event_log(spark, CLICKS)
     return EventLog(log.df.cache(), log.spec)
 

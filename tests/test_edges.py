@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from cartrail import EventLog
+from cartrail import EventLog, LogSpec
 from cartrail.operators import commerce, predict, traces
 from cartrail.sources import event_log, results
 from conftest import as_set
@@ -53,6 +53,37 @@ def test_missing_column_is_an_error(spark, tmp_path):
         event_log.load_event_log(spark, str(file))
 
 
+def test_doubled_quotes_and_commas_in_fields(spark, tmp_path):
+    path = write(tmp_path, '2019-10-01 00:00:09 UTC,view,1,2.05E+18,"a ""b"", c","x,y",1.5,7,s')
+    row = event_log.load_event_log(spark, path).df.first()
+    assert (row.category_code, row.brand, row.price, row.user_session) == ('a "b", c', "x,y", 1.5, "s")
+
+
+@pytest.mark.parametrize("line", ["UTC,view,1,2.05E+18,c,b,1.5,7,s,more", "UTC,view,1,2.05E+18,c,b,1.5", 'UTC,view,1,2,"c\nd",b,1.5,7,s'])
+def test_surplus_short_and_broken_lines_are_errors(spark, tmp_path, line):
+    path = write(tmp_path, f"2019-10-01 00:00:09 {line}")
+    with pytest.raises(Exception, match="MALFORMED|FAILED_READ"):
+        event_log.load_event_log(spark, path).df.collect()
+
+
+def test_log_with_other_column_names(spark, tmp_path):
+    file = tmp_path / "own.csv"
+    file.write_text(
+        "at,event_type,product_id,category_id,category_code,brand,price,user_id,sid\n"
+        "2019-10-01 00:00:09 UTC,view,1,2.05E+18,,b,1.5,7,x\n"
+    )
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        log = event_log.load_event_log(spark, str(file), LogSpec(case="sid", time="at"))
+        row = log.df.first()
+        assert (row.sid, str(row.at), row.category_code) == ("x", "2019-10-01 00:00:09", "Unknown")
+        assert as_set(traces.start_activities(log), "activity", "cases") == {("view", 1)}
+        assert spark.conf.get("spark.sql.session.timeZone") == "Asia/Tokyo"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_files_of_a_folder_must_agree(spark, tmp_path):
     names = HEADER.strip().split(",")
     line = "2019-10-01 00:00:09 UTC,view,1,2.05E+18,c,b,1.5,7,s".split(",")
@@ -68,7 +99,7 @@ def test_files_of_a_folder_must_agree(spark, tmp_path):
 def test_parquet_log_round_trip(spark, clicks, tmp_path):
     clicks.df.write.parquet(str(tmp_path / "log"))
     again = event_log.load_event_log(spark, str(tmp_path / "log"), fmt="parquet").df
-    assert again.exceptAll(clicks.df.select(again.columns)).count() == 0 and again.count() == 45
+    assert again.exceptAll(clicks.df.select(again.columns)).count() == 0 and again.count() == 25
 
 
 def test_null_session(shop_rows):
@@ -184,6 +215,25 @@ def test_prediction_inputs(spark, make_log):
     assert reasons == {("lost", "no known activity"), ("none", "empty sequence")}
 
 
+def test_many_unknown_steps_at_the_end(spark, make_log):
+    """The end is taken after unknown steps are gone, on arrays and on rows."""
+    train = make_log(["abc", "abd", "abc"])
+    model, words = predict.train_ngram(train), traces.activity_vocabulary(train)
+    asked = spark.createDataFrame([("x", list("ab") + ["?"] * 40)], "seq_id string, sequence array<string>")
+    want = {("c", 2 / 3), ("d", 1 / 3)}
+    assert as_set(predict.predict_next(asked, model, words), "activity", "prob") == want
+    tails = predict.known_tails(make_log(["ab" + "z" * 40, "zz"]), words)
+    assert as_set(predict.predict_tails(tails, model), "seq_id", "activity", "prob") == {("c000", *w) for w in want}
+    assert as_set(predict.unanswered_cases(make_log(["az", "zz"]), words), "seq_id") == {"c001"}
+
+
+def test_rows_with_one_name_keep_their_own_sequence(spark, make_log):
+    words = traces.activity_vocabulary(make_log(["ab"]))
+    asked = spark.createDataFrame([("x", list("ab")), ("x", list("b?aa"))], "seq_id string, sequence array<string>")
+    got = {tuple(r.sequence) for r in predict.known_only(asked, words).collect()}
+    assert got == {("a", "b"), ("b", "a", "a")}
+
+
 def test_unseen_context_backs_off(spark, make_log):
     log = make_log(["ab", "cb", "cb"])
     model, words = predict.train_ngram(log), traces.activity_vocabulary(log)

@@ -21,15 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cartrail.llm.common import in_groups
+from cartrail.llm.common import in_groups, small_batches
 
 VOCABULARY = "word_bpe_49k.json"
 WINDOW = 8
 CUT_BITS = 8
 # Bytes to look ahead for white space before a cut falls inside a run.
 LOOK_AHEAD = 128
-KNOWN_CHUNKS = 20_000
-KNOWN_RUNS = 500_000
+KNOWN_CHUNKS = 10_000
+KNOWN_RUNS = 200_000
 SPACE = b" \t\n\r"
 # Texts are cut in stretches of about this size to bound the hash arrays.
 STRETCH = 1 << 22
@@ -173,13 +173,11 @@ def _mapped(docs: DataFrame, columns: list[str], path: str, schema, answer) -> D
     names = list(dict.fromkeys([*columns, "text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gc
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        gc.freeze()
         encoder = Encoder(path)
-        for batch in batches:
+        for batch in small_batches(batches):
             raws = [(t.as_py() or "").encode("utf-8") for t in batch.column("text")]
             rows = [answer(*one) for group in in_groups(raws, STRETCH) for one in encoder.encode(group)]
             counts, ids, texts = zip(*rows) if rows else ((), (), ())

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartrail.llm.common import in_groups
+from cartrail.llm.common import in_groups, small_batches
 from cartrail.llm.quality_qda import held_out
 
 HELD_OUT = (4, 2)
@@ -260,7 +260,7 @@ def language_report(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(network)
-        for batch in batches:
+        for batch in small_batches(batches):
             raw = [(t.as_py() or "").encode("utf-8") for t in batch.column("text")]
             answers = [one for group in in_groups(raw, STRETCH) for one in reader.label(group)]
             guess, score = zip(*answers) if answers else ((), ())

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartrail.llm.common import HEAVY_KEYS, keyed, numbered, stored, text_key
+from cartrail.llm.common import HEAVY_KEYS, keyed, numbered, small_batches, stored, text_key
 
 MIN_WORDS = 8
 # A sentence with its end marks; the sentences of a line cover all of it.
@@ -61,7 +61,7 @@ def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_intdigest
-        for batch in batches:
+        for batch in small_batches(batches):
             ids, keys = batch.column("_doc").to_pylist(), batch.column("_th").to_pylist()
             rows: list[tuple] = []
             for doc, key, text in zip(ids, keys, batch.column("text")):
@@ -147,7 +147,7 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     names = rows.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = batch.column(text).to_pylist()
             for k, found in enumerate(batch.column("_spans").to_pylist()):
                 if found:

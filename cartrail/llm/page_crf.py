@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from cartrail.llm.common import small_batches
 from cartrail.llm.labelled_pages import labelled_pages
 
 STEPS = 250
@@ -253,7 +254,7 @@ def main_texts(pages: DataFrame, model: Chain | None = None) -> DataFrame:
     schema = pages.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = [model.main_text(p.as_py()) for p in batch.column("html")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartrail.llm.common import in_groups
+from cartrail.llm.common import in_groups, small_batches
 
 TO_POOLED = 0.2
 TO_IDENTITY = 0.05
@@ -162,7 +162,7 @@ def with_statistics(docs: DataFrame, columns: list[str]) -> DataFrame:
     schema = kept.drop("text").schema.add("x", T.ArrayType(T.DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             x = statistics(batch.column("text").to_pylist())
             arrays = [batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(list(x))], names=[*columns, "x"])
@@ -218,7 +218,7 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     schema = docs.select("doc_id").schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             score = pa.array(scores(model, batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), score], names=["doc_id", "score"])
 
@@ -235,7 +235,7 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             score = scores(model, batch.column("text").to_pylist())
             yield batch.filter(pa.array(score >= THRESHOLD))
 

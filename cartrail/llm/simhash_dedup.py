@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartrail.llm.common import keyed, lookup_by_key, numbered, stored, text_key
+from cartrail.llm.common import keyed, lookup_by_key, numbered, small_batches, stored, text_key
 
 RADIUS = 3
 SHINGLE_WORDS = 3
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, columns: list[str]) -> DataFrame:
     schema = kept.drop("text").schema.add("fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             values = np.array([fingerprint(t.as_py()) for t in batch.column("text")], dtype=np.uint64)
             arrays = [batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays(

@@ -95,14 +95,40 @@ def _loop(edge: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[set[int]
     return [body, *sorted(redo, key=min)] if redo else []
 
 
-def split_node(facts: pd.DataFrame) -> pd.DataFrame:
-    """Decide the operator of one node and the part each activity goes to.
+def _skipped(groups: list[set[int]], edge: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bool]:
+    """Which groups of a sequence some trace passes over.
 
-    ``facts`` holds rows (node, kind, a, b): edges, starts, ends and activities
-    that every trace has exactly once. Returns (node, op, activity, part, leaf);
-    ``leaf`` marks an activity that is all there is to its part.
+    A trace passes through the groups in order, so one that leaves a group out
+    shows it by a step, a start or an end beyond it.
     """
-    node = facts["node"].iloc[0]
+    place = {a: i for i, g in enumerate(groups) for a in g}
+    jumps = {(place[a], place[b]) for a, b in zip(*np.nonzero(edge))}
+    jumps |= {(-1, place[a]) for a in np.flatnonzero(start)}
+    jumps |= {(place[a], len(groups)) for a in np.flatnonzero(end)}
+    return [any(low < i < high for low, high in jumps) for i in range(len(groups))]
+
+
+def _exact_cut(edge: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[str, list[set[int]]] | None:
+    """The cuts after which the relations of each part follow from those of the whole."""
+    groups = sorted(_groups(edge), key=min)
+    if len(groups) > 1:
+        return "xor", groups
+    groups = _sequence(edge, start, end)
+    return ("sequence", groups) if len(groups) > 1 else None
+
+
+def _cut(edge: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[str, list[set[int]]] | None:
+    exact = _exact_cut(edge, start, end)
+    if exact:
+        return exact
+    for op, find in (("parallel", _parallel), ("loop", _loop)):
+        groups = find(edge, start, end)
+        if len(groups) > 1:
+            return op, groups
+    return None
+
+
+def _read(facts: pd.DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     names = sorted(set(facts["a"]) | set(facts["b"]))
     index = {name: i for i, name in enumerate(names)}
     edge = np.zeros((len(names), len(names)), dtype=bool)
@@ -112,37 +138,74 @@ def split_node(facts: pd.DataFrame) -> pd.DataFrame:
             edge[index[a], index[b]] = True
         else:
             {"start": start, "end": end, "once": once}[kind][index[a]] = True
+    return names, edge, start, end, once
 
-    def answer(op: str, part) -> pd.DataFrame:
-        part = [int(p) for p in part]
-        # In a parallel part an activity may come back later in the same trace.
-        final = op in ("xor", "sequence", "loop")
-        leaf = [final and part.count(p) == 1 and not edge[x, x] for x, p in enumerate(part)]
-        if op == "strict_tau_loop" and len(names) == 1:
-            leaf = [True]
-        return pd.DataFrame(
-            {"node": node, "op": op, "activity": names, "part": part, "leaf": leaf}
-        )
 
-    def parts(groups: list[set[int]]) -> list[int]:
-        return [next(i for i, g in enumerate(groups) if x in g) for x in range(len(names))]
+SPLIT = (
+    "root string, node string, op string, activity string, part int, "
+    "leaf boolean, optional boolean, last boolean"
+)
 
+
+def split_node(facts: pd.DataFrame) -> pd.DataFrame:
+    """Decide the operator of one node and the part each activity goes to.
+
+    ``facts`` holds rows (node, kind, a, b): edges, starts, ends and activities
+    that every trace has exactly once. Exclusive and sequence parts are split
+    on at once, since their relations are known; other parts wait for a round.
+    Returns SPLIT rows: ``root`` is the given node, ``node`` it or one below,
+    ``leaf`` marks an activity that is all there is to its part, ``optional``
+    a part that some trace passes over, ``last`` the lowest row of an activity.
+    """
+    root = facts["node"].iloc[0]
+    names, edge, start, end, once = _read(facts)
+    rows: list[list] = []
+    lowest: dict[int, list] = {}
+
+    def decide(node: str, op: str, who, part, leaf, optional=None) -> None:
+        for x, p, is_leaf in zip(who, part, leaf):
+            if x in lowest:
+                lowest[x][-1] = False
+            skipped = bool(optional and optional[p])
+            lowest[x] = [root, node, op, names[x], int(p), bool(is_leaf), skipped, True]
+            rows.append(lowest[x])
+
+    everyone = list(range(len(names)))
+    none = [False] * len(names)
+    waiting = []
     if len(names) == 1 and not edge.any():
-        return answer("activity", [0])
-    for op, groups in (
-        ("xor", sorted(_groups(edge), key=min)),
-        ("sequence", _sequence(edge, start, end)),
-        ("parallel", _parallel(edge, start, end)),
-        ("loop", _loop(edge, start, end)),
-    ):
-        if len(groups) > 1:
-            return answer(op, parts(groups))
-    if once.any() and len(names) > 1:
+        decide(root, "activity", everyone, [0], none)
+    elif whole := _cut(edge, start, end):
+        waiting.append((root, np.array(everyone), start, end))
+    elif once.any() and len(names) > 1:
         first = int(np.flatnonzero(once)[0])
-        return answer("parallel", [x != first for x in range(len(names))])
-    ends_or_starts = start * STARTS + end * ENDS
-    if edge[np.ix_(end, start)].any():
-        return answer("strict_tau_loop", ends_or_starts)
-    if edge[:, start].any():
-        return answer("tau_loop", ends_or_starts)
-    return answer("flower", range(len(names)))
+        decide(root, "parallel", everyone, [x != first for x in everyone], none)
+    elif edge[np.ix_(end, start)].any():
+        decide(root, "strict_tau_loop", everyone, start * STARTS + end * ENDS, [len(names) == 1] * len(names))
+    elif edge[:, start].any():
+        decide(root, "tau_loop", everyone, start * STARTS + end * ENDS, none)
+    else:
+        decide(root, "flower", everyone, everyone, none)
+
+    while waiting:
+        node, who, start, end = waiting.pop()
+        inner = edge[np.ix_(who, who)]
+        found = whole if node == root else _exact_cut(inner, start, end)
+        if found is None:
+            continue
+        op, groups = found
+        part = [next(i for i, g in enumerate(groups) if x in g) for x in range(len(who))]
+        # In a parallel part an activity may come back later in the same trace.
+        leaf = [op != "parallel" and len(groups[p]) == 1 and not inner[x, x] for x, p in enumerate(part)]
+        optional = _skipped(groups, inner, start, end) if op == "sequence" else [False] * len(groups)
+        decide(node, op, who.tolist(), part, leaf, optional)
+        if op not in ("xor", "sequence"):
+            continue
+        for i, group in enumerate(groups):
+            some = sorted(group)
+            others = np.setdiff1d(np.arange(len(who)), some)
+            begins = start[some] | inner[np.ix_(others, some)].any(axis=0)
+            ends = end[some] | inner[np.ix_(some, others)].any(axis=1)
+            if len(some) > 1:
+                waiting.append((f"{node}.{i}.1" if optional[i] else f"{node}.{i}", who[some], begins, ends))
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in SPLIT.split(", ")])

@@ -59,7 +59,7 @@ def with_copy_numbers(df: DataFrame) -> DataFrame:
     The numbers depend only on the data, so a repeated task gives the same rows.
     """
     columns = df.columns
-    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    counted = durable(df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")))
     last = F.least(F.lit(COPIES_PER_TASK), F.col("_n") - F.col("_run") * COPIES_PER_TASK)
 
     def written_out(runs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartrail.functions.durable import durable
 from cartrail.spec import EventLog
 
 # Seed of the session draw and rows of a preview.
@@ -25,8 +26,17 @@ def chosen_cases(log: EventLog, max_rows: int, seed: int = SEED) -> DataFrame:
     row; buckets before it are taken whole, so no task sees all cases.
     """
     case = log.spec.case
-    rows_per_case = log.df.groupBy(case).agg(F.count(F.lit(1)).alias("_rows"))
-    totals = rows_per_case.agg(
+    # One pass over the log; all that follows reads the stored cases.
+    hashed = durable(
+        log.df.groupBy(case)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .withColumn(
+            "_hash",
+            F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(case).cast("string"), F.lit("")))),
+        )
+        .withColumn("_bucket", F.substring("_hash", 1, 4))
+    )
+    totals = hashed.agg(
         F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("cases")
     )
     share = F.lit(float(max_rows)) / F.col("rows")
@@ -35,10 +45,6 @@ def chosen_cases(log: EventLog, max_rows: int, seed: int = SEED) -> DataFrame:
         .otherwise(F.greatest(F.lit(1), F.floor(F.col("cases") * share)))
         .cast("bigint")
     ).scalar()
-    hashed = rows_per_case.select(
-        case,
-        F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(case).cast("string"), F.lit("")))).alias("_hash"),
-    ).withColumn("_bucket", F.substring("_hash", 1, 4))
     # 65,536 buckets at most.
     buckets = (
         hashed.groupBy("_bucket")

@@ -2,8 +2,8 @@
 
 All open nodes of the tree are split in the same round. A round takes the
 relations between neighbouring events of every node from the event rows, lets
-``functions.cuts`` choose each node's operator from those relations, and moves
-the event rows to the children. Rows stay rows throughout, one per event of a
+``functions.cuts`` choose each node's operator from those relations (and those of
+all nodes below that follow from them), and moves the event rows to the children. Rows stay rows throughout, one per event of a
 distinct trace, so neither the log nor a trace has to fit one task.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartrail.functions.cuts import ENDS, STARTS, split_node
+from cartrail.functions.cuts import ENDS, SPLIT, STARTS, split_node
 from cartrail.functions.durable import durable
 from cartrail.functions.lookup import settled
 from cartrail.functions.ordering import Ordered, hot_keys
@@ -136,25 +136,29 @@ def _grow(log: EventLog) -> DataFrame:
         decided = settled(
             _facts(rows, ordered)
             .groupBy("node")
-            .applyInPandas(split_node, "node string, op string, activity string, part int, leaf boolean")
+            .applyInPandas(split_node, SPLIT)
         ).withColumn("child", child)
-        splits = decided.filter(~ends_here)
+        skipped = decided.filter("optional").select("child")
+        decided = decided.drop("optional")
+        splits = decided.filter("last").filter(~ends_here).drop("node").withColumnRenamed("root", "node")
         moved = _move(ordered, splits)
         # Projection leaves some traces without an event: the child is optional.
-        projected = op.isin("sequence", "parallel")
-        traces = rows.select("node", "trace").distinct().groupBy("node").agg(
-            F.count(F.lit(1)).alias("all")
-        )
-        kept = (
-            moved.filter(projected)
-            .select("node", "child", "trace")
-            .distinct()
-            .groupBy("node", "child")
-            .agg(F.count(F.lit(1)).alias("kept"))
-        )
-        optional = settled(
-            kept.join(traces, "node").filter(F.col("kept") < F.col("all")).select("child")
-        )
+        parallel = F.col("op") == "parallel"
+        if not splits.filter(parallel).isEmpty():
+            traces = rows.select("node", "trace").distinct().groupBy("node").agg(
+                F.count(F.lit(1)).alias("all")
+            )
+            kept = (
+                moved.filter(parallel)
+                .select("node", "child", "trace")
+                .distinct()
+                .groupBy("node", "child")
+                .agg(F.count(F.lit(1)).alias("kept"))
+            )
+            skipped = skipped.unionByName(
+                kept.join(traces, "node").filter(F.col("kept") < F.col("all")).select("child")
+            )
+        optional = settled(skipped.distinct())
         marked = optional.withColumn("optional", F.lit(True))
         place = F.when(F.col("optional"), F.concat_ws(".", "child", F.lit("1"))).otherwise(
             F.col("child")
@@ -167,7 +171,7 @@ def _grow(log: EventLog) -> DataFrame:
                 .join(marked, "child", "left")
                 .select(
                     place.alias("node"),
-                    F.concat_ws("|", "child", "moved_trace").alias("trace"),
+                    F.md5(F.concat_ws("|", "child", "moved_trace")).alias("trace"),
                     "pos",
                     "activity",
                 )

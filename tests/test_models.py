@@ -4,6 +4,7 @@ import itertools
 import random
 from collections import deque
 
+import pandas as pd
 import pytest
 from pytest import approx
 
@@ -128,8 +129,6 @@ def test_flows_of_a_loop(make_log):
 
 
 def test_flower_when_nothing_else_holds():
-    import pandas as pd
-
     facts = [("edge", "a", "b"), ("edge", "b", "c"), ("edge", "c", "a"), ("start", "a", "a"), ("end", "b", "b")]
     df = pd.DataFrame([("0", *f) for f in facts], columns=["node", "kind", "a", "b"])
     got = cuts.split_node(df)
@@ -173,3 +172,18 @@ def test_report(clicks, tmp_path, spark):
     assert document["ecommerce"]["kpis"]["sessions"] == 8
     assert [s["activity"] for s in document["important_steps"]] == ["view", "cart", "purchase"]
     assert document["top_paths"][0]["path"] == "view -> cart -> purchase"
+
+
+def test_chain_with_early_exits_is_split_at_once():
+    """Cases a, ab, abc: one call decides every level of the chain."""
+    facts = [("start", "a", "a"), ("edge", "a", "b"), ("edge", "b", "c")]
+    facts += [("end", x, x) for x in "abc"] + [("once", "a", "a")]
+    got = cuts.split_node(pd.DataFrame([("0", *f) for f in facts], columns=["node", "kind", "a", "b"]))
+    rows = set(got[["node", "op", "activity", "part", "leaf", "optional", "last"]].itertuples(index=False, name=None))
+    assert rows == {
+        ("0", "sequence", "a", 0, True, False, True),
+        ("0", "sequence", "b", 1, False, True, False),
+        ("0", "sequence", "c", 1, False, True, False),
+        ("0.1.1", "sequence", "b", 0, True, False, True),
+        ("0.1.1", "sequence", "c", 1, True, True, True),
+    }

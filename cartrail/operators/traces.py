@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartrail.functions.durable import durable
 from cartrail.functions.lookup import small_lookup
 from cartrail.functions.ordering import Ordered
 from cartrail.spec import EventLog
@@ -14,7 +15,7 @@ from cartrail.spec import EventLog
 # Fixed value: the text between two steps of a path.
 ARROW = " -> "
 
-# Longest path that is written out as text; a longer one is kept as rows.
+# Longest path that is written out as text; any path can be had as rows.
 MAX_TEXT_STEPS = 1_000_000
 
 
@@ -128,124 +129,91 @@ def activity_share(log: EventLog, top: int = 10) -> DataFrame:
     )
 
 
-def _fingerprint(steps: Column, first: Column, second: Column) -> Column:
-    """Name of a path too long for one text: its length and two 64-bit hashes."""
-    return F.concat_ws("-", F.lit("long"), steps, F.hex(first), F.hex(second))
-
-
-def _array_hash(seed: int) -> Column:
-    """XOR over the hashes of (position, step); equals ``_step_hash`` on rows."""
-    hashes = F.transform(
-        F.col("_path"), lambda step, i: F.xxhash64(F.lit(seed), (i + 1).cast("bigint"), step)
-    )
-    return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda acc, h: acc.bitwiseXOR(h))
-
-
-def _step_hash(seed: int) -> Column:
-    return F.bit_xor(F.xxhash64(F.lit(seed), F.col("_at"), F.col("_step")))
-
-
-def _whole_paths(events: DataFrame, log: EventLog, max_text_steps: int) -> DataFrame:
-    """(case_id, variant_id, path, steps) of cases that fit one row."""
+def _steps(seq: Ordered, log: EventLog) -> DataFrame:
+    """The steps (case_id, pos, activity) of every case."""
     s = log.spec
-    step = F.struct(*[F.col(c) for c in s.order], F.col(s.activity).alias("_step"))
-    is_text = F.col("steps") <= max_text_steps
     return (
-        events.groupBy(F.col(s.case).alias("case_id"))
-        .agg(F.array_sort(F.collect_list(step))["_step"].alias("_path"))
-        .withColumn("steps", F.size("_path").cast("bigint"))
-        .withColumn("path", F.when(is_text, F.array_join("_path", ARROW)))
-        .withColumn(
-            "variant_id",
-            F.when(is_text, F.md5("path")).otherwise(
-                _fingerprint(F.col("steps"), _array_hash(1), _array_hash(2))
-            ),
-        )
-        .select("case_id", "variant_id", "path", "steps")
+        seq.numbered("_at")
+        .rows()
+        .select(F.col(s.case).alias("case_id"), F.col("_at").alias("pos"), F.col(s.activity).alias("activity"))
     )
 
 
-def _hashed_paths(events: DataFrame) -> DataFrame:
-    """The same columns for cases that do not fit one row.
+def _sequences(log: EventLog, collapse: bool) -> Ordered:
+    return collapsed(log) if collapse else log.sequences()
+
 
-    The step hashes combine by XOR, so they are reduced before the shuffle.
+def case_variants(log: EventLog, collapse: bool = True) -> DataFrame:
+    """The variant of each case: (case_id, variant_id, steps).
+
+    A variant is named by its length and two XORs over 60 digest bits of each
+    (position, step). These combine in any order, so a case of any length is
+    reduced before the shuffle and is never held as an array or text.
     """
+    digest = F.md5(F.concat_ws("|", "pos", "activity"))
+    bits = [F.conv(F.substring(digest, at, 15), 16, 10).cast("bigint") for at in (1, 16)]
     return (
-        events.groupBy("case_id")
-        .agg(F.count(F.lit(1)).alias("steps"), _step_hash(1).alias("_a"), _step_hash(2).alias("_b"))
-        .select(
-            "case_id",
-            _fingerprint(F.col("steps"), F.col("_a"), F.col("_b")).alias("variant_id"),
-            F.lit(None).cast("string").alias("path"),
-            "steps",
-        )
+        _steps(_sequences(log, collapse), log)
+        .select("case_id", bits[0].alias("_a"), bits[1].alias("_b"))
+        .groupBy("case_id")
+        .agg(F.count(F.lit(1)).alias("steps"), F.bit_xor("_a").alias("_a"), F.bit_xor("_b").alias("_b"))
+        .select("case_id", F.concat_ws("-", "steps", F.hex("_a"), F.hex("_b")).alias("variant_id"), "steps")
     )
 
 
-def _numbered_steps(seq: Ordered, log: EventLog) -> DataFrame:
-    s = log.spec
+def variants(log: EventLog, collapse: bool = True) -> DataFrame:
+    """Distinct paths (variant_id, steps, cases, first_case) with the number of cases that took them."""
     return (
-        seq.numbered("_at")
-        .rows()
-        .select(F.col(s.case).alias("case_id"), "_at", F.col(s.activity).alias("_step"))
+        case_variants(log, collapse)
+        .groupBy("variant_id", "steps")
+        .agg(F.count(F.lit(1)).alias("cases"), F.min("case_id").alias("first_case"))
     )
 
 
-def case_paths(log: EventLog, collapse: bool = True, max_text_steps: int = MAX_TEXT_STEPS) -> DataFrame:
-    """The path of each case: (case_id, variant_id, path, steps).
+def variant_steps(log: EventLog, found: DataFrame, collapse: bool = True) -> DataFrame:
+    """The steps (variant_id, pos, activity) of the given variants of a log.
 
-    A path of more than ``max_text_steps`` steps has a null ``path`` and is
-    identified by a fingerprint; ``variant_steps`` lists its steps as rows.
+    They are read off the first case of each. Hot cases, few by their size, are
+    looked up by broadcast, so their rows stay where they are.
     """
-    seq = collapsed(log) if collapse else log.sequences()
-    paths = _whole_paths(seq.cold, log, max_text_steps)
-    if seq.hot is None:
-        return paths
-    # Hot cases may be short once repeats are gone. One row per hot case.
     case = log.spec.case
-    lengths = seq.hot.groupBy(case).agg(F.count(F.lit(1)).alias("_length"))
-    short = F.broadcast(lengths.filter(F.col("_length") <= max_text_steps))
-    long = F.broadcast(lengths.filter(F.col("_length") > max_text_steps))
-    only_hot = replace(seq, cold=seq.cold.limit(0))
-    long_steps = _numbered_steps(only_hot, log).join(
-        long.withColumnRenamed(case, "case_id"), "case_id", "left_semi"
-    )
-    return paths.unionByName(
-        _whole_paths(seq.hot.join(short, case, "left_semi"), log, max_text_steps)
-    ).unionByName(_hashed_paths(long_steps))
+    shown = found.select("variant_id", F.col("first_case").alias("_shown"))
 
+    def of(seq: Ordered, some: DataFrame) -> DataFrame:
+        steps = _steps(seq, log)
+        return steps.join(some, steps["case_id"] == some["_shown"]).select("variant_id", "pos", "activity")
 
-def variants(log: EventLog, collapse: bool = True, max_text_steps: int = MAX_TEXT_STEPS) -> DataFrame:
-    """Distinct paths with the number of cases that took them."""
-    return (
-        case_paths(log, collapse, max_text_steps)
-        .groupBy("variant_id", "path", "steps")
-        .agg(F.count(F.lit(1)).alias("cases"), F.min("case_id").alias("first_case"))
-    )
+    seq = _sequences(log, collapse)
+    cold = of(replace(seq, hot=None), shown)
+    if seq.hot is None:
+        return cold
+    hot_cases = seq.hot.select(F.col(case).alias("_shown")).distinct()
+    some = F.broadcast(shown.join(F.broadcast(hot_cases), "_shown").select("variant_id", "_shown"))
+    return cold.unionByName(of(replace(seq, cold=seq.cold.limit(0)), some))
 
 
-def variant_steps(
-    log: EventLog, collapse: bool = True, max_text_steps: int = MAX_TEXT_STEPS
+def with_paths(
+    log: EventLog, found: DataFrame, collapse: bool = True, max_text_steps: int = MAX_TEXT_STEPS
 ) -> DataFrame:
-    """The steps (variant_id, pos, activity) of paths too long to be one text."""
-    seq = collapsed(log) if collapse else log.sequences()
-    shown = (
-        variants(log, collapse, max_text_steps)
-        .filter(F.col("path").isNull())
-        .select("variant_id", F.col("first_case").alias("case_id"))
-    )
-    return (
-        _numbered_steps(seq, log)
-        .join(shown, "case_id")
-        .select("variant_id", F.col("_at").alias("pos"), F.col("_step").alias("activity"))
+    """The given variants with their steps as one text, ``path``.
+
+    ``path`` is null where a variant has more than ``max_text_steps`` steps and
+    does not fit a row; ``variant_steps`` lists the steps of any variant.
+    """
+    texts = (
+        variant_steps(log, found.filter(F.col("steps") <= max_text_steps), collapse)
+        .groupBy("variant_id")
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "activity")))["activity"].alias("_path"))
+        .select("variant_id", F.array_join("_path", ARROW).alias("path"))
     )
+    return found.join(texts, "variant_id", "left")
 
 
 def top_paths(log: EventLog, top: int = 5) -> DataFrame:
     """Most frequent collapsed paths; ties by the smallest case id."""
-    best = variants(log).orderBy(F.col("cases").desc(), "first_case").limit(top)
+    best = durable(variants(log).orderBy(F.col("cases").desc(), "first_case").limit(top))
     by_rank = Window.orderBy(F.col("cases").desc(), "first_case")
-    return best.select(
+    return with_paths(log, best).select(
         F.row_number().over(by_rank).cast("bigint").alias("rank"), "path", "cases", "first_case"
     )
 

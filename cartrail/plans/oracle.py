@@ -39,16 +39,21 @@ kept AS (
   FROM steps WHERE prev IS NULL OR prev <> event_type)"""
 )
 
-PATHS = (
-    STEPS
-    + """,
-paths AS (
-  SELECT user_session, string_agg(event_type, ' -> ' ORDER BY pos) AS path, count(*) AS steps
-  FROM kept GROUP BY user_session),
-raw_paths AS (
-  SELECT user_session, string_agg(event_type, ' -> ' ORDER BY pos) AS path, count(*) AS steps
-  FROM steps GROUP BY user_session)"""
-)
+
+
+def _paths(name: str, rows: str, pos: str) -> str:
+    digest = f"md5({pos} || '|' || event_type)"
+    bits = ", ".join(
+        f"bit_xor(CAST('0x' || substr({digest}, {at}, 15) AS BIGINT)) AS x{at}" for at in (1, 16)
+    )
+    return f"""
+{name} AS (
+  SELECT user_session, path, steps, steps || '-' || hex(x1) || '-' || hex(x16) AS variant_id FROM (
+    SELECT user_session, string_agg(event_type, ' -> ' ORDER BY pos) AS path, count(*) AS steps, {bits}
+    FROM {rows} GROUP BY user_session))"""
+
+
+PATHS = STEPS + "," + _paths("paths", "kept", "cpos") + "," + _paths("raw_paths", "steps", "pos")
 
 CSV = (
     SHOP
@@ -348,14 +353,19 @@ WHERE prev IS NOT NULL GROUP BY ALL""",
     ),
     "variants": _sql(
         PATHS,
-        """SELECT md5(path) AS variant_id, path, any_value(steps) AS steps, count(*) AS cases,
+        """SELECT any_value(variant_id) AS variant_id, path, any_value(steps) AS steps, count(*) AS cases,
        min(user_session) AS first_case FROM paths GROUP BY path""",
     ),
     "variants_raw": _sql(
         PATHS,
-        """SELECT md5(path) AS variant_id, path, any_value(steps) AS steps, count(*) AS cases,
+        """SELECT any_value(variant_id) AS variant_id, path, any_value(steps) AS steps, count(*) AS cases,
        min(user_session) AS first_case FROM raw_paths GROUP BY path""",
     ),
+    "variant_steps": _sql(
+        PATHS,
+        """SELECT DISTINCT p.variant_id, k.cpos AS pos, k.event_type AS activity
+FROM paths p JOIN kept k USING (user_session)""",
+    ),
     "top_paths": _sql(
         PATHS,
         """SELECT row_number() OVER (ORDER BY cases DESC, first_case) AS rank, path, cases, first_case

@@ -103,6 +103,24 @@ def important_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.important_steps(bindings.session_log(spark, sf_dir))
 
 
+def _variants(log: EventLog, collapse: bool) -> DataFrame:
+    """Every variant with its path; the counts are stored, as the texts are read off them."""
+    return traces.with_paths(log, durable(traces.variants(log, collapse)), collapse)
+
+
+def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _variants(bindings.session_log(spark, sf_dir), collapse=True)
+
+
+def variants_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _variants(bindings.session_log(spark, sf_dir), collapse=False)
+
+
+def variant_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = bindings.session_log(spark, sf_dir)
+    return traces.variant_steps(log, durable(traces.variants(log)))
+
+
 def next_activity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = traces.next_activity_pairs(bindings.session_log(spark, sf_dir))
     return pairs.select("case_id", F.array_join("x", ",").alias("x"), "y")
@@ -150,7 +168,6 @@ def _with_unknown_steps(log: EventLog) -> EventLog:
     return EventLog(log.df.withColumn(s.activity, name), s, log.hot_rows)
 
 
-
 def _rounded(rows: DataFrame) -> DataFrame:
     return rows.withColumn("value", F.round("value", 6))
 
@@ -225,8 +242,9 @@ QUERIES: dict[str, Query] = {
     "dfg_raw": _session(traces.directly_follows, collapse=False),
     "start_activities": _session(traces.start_activities),
     "end_activities": _session(traces.end_activities),
-    "variants": _session(traces.variants),
-    "variants_raw": _session(traces.variants, collapse=False),
+    "variants": variants,
+    "variants_raw": variants_raw,
+    "variant_steps": variant_steps,
     "top_paths": _session(traces.top_paths),
     "activity_share": _session(traces.activity_share),
     "important_steps": important_steps,

@@ -22,7 +22,8 @@ def test_query_matches_sql(spark, name):
     "name, operator",
     [
         ("dfg_collapsed", traces.directly_follows),
-        ("variants", traces.variants),
+        ("variants", lambda log: traces.with_paths(log, traces.variants(log))),
+        ("variant_steps", lambda log: traces.variant_steps(log, traces.variants(log))),
         ("session_order", commerce.session_order),
     ],
 )

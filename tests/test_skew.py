@@ -70,18 +70,18 @@ def test_variants_with_long_paths(both, limit):
     want = {}
     for i, w in enumerate(words()):
         want.setdefault(tuple(collapse(w)), []).append(f"c{i:03d}")
-    got = same(both, traces.variants, max_text_steps=limit)
+    got = same(both, lambda log: traces.with_paths(log, traces.variants(log), max_text_steps=limit))
     assert sorted((r.steps, r.cases, r.first_case) for r in got) == sorted(
         (len(p), len(c), min(c)) for p, c in want.items()
     )
     assert {r.path for r in got if r.path} == {" -> ".join(p) for p in want if len(p) <= limit}
-    long = {" -> ".join(p) for p in want if len(p) > limit}
+    assert {r.variant_id for r in got} == {r.variant_id for r in same(both, traces.variants)}
     for log in both:
         steps = {}
-        for r in traces.variant_steps(log, max_text_steps=limit).collect():
+        for r in traces.variant_steps(log, traces.variants(log)).collect():
             steps.setdefault(r.variant_id, {})[r.pos] = r.activity
-        assert {" -> ".join(s[p] for p in sorted(s)) for s in steps.values()} == long
-        assert set(steps) == {r.variant_id for r in got if r.path is None}
+        assert {tuple(s[p] for p in sorted(s)) for s in steps.values()} == set(want)
+        assert set(steps) == {r.variant_id for r in got}
 
 
 def test_examples_and_tails(both):
@@ -158,7 +158,7 @@ def test_copies_of_one_event(make_log, spark):
     spec = make_log(["a"]).spec
     for hot in (5, 2_000_000):
         log = EventLog(df, spec, hot)
-        assert as_set(traces.variants(log), "path", "cases") == {("view -> cart", 2)}
+        assert as_set(traces.with_paths(log, traces.variants(log)), "path", "cases") == {("view -> cart", 2)}
         raw = as_set(traces.directly_follows(log, False), "src", "dst", "weight")
         assert raw == {("view", "view", 49), ("view", "cart", 2), ("cart", "cart", 2)}
 

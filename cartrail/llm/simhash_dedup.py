@@ -279,6 +279,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         .agg(F.min(rank).alias("k"))
         .select(F.col("k.d").alias("_d"), F.col("k.t").alias("_t"))
     )
+    return only(docs, keep)
+
+
+def only(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id and text digest are in ``keep`` as ``_d`` and ``_t``; equal rows leave one."""
     # Joined and deduplicated by the same columns, so texts are shuffled once.
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("~")).alias("_name")
     keep = keep.select(name("_d"), "_t")

@@ -88,7 +88,7 @@ def _comments(w: Writer) -> list[tuple[str, int]]:
 def _form(w: Writer) -> list[tuple[str, int]]:
     return [
         ('<form action="#">', -1), (f"<label>{w.words(1, 4)}</label>", 0), ('<input type="text">', -1),
-        (f"<p>{w.prose(1, 2)}</p>", 0), (f"<button>{w.words(1, 3)}</button>", -1), ("</form>", -1),
+        (f"<p>{w.prose(1, 2)}</p>", 0), (f"<button>{w.words(1, 3)}</button>", 0), ("</form>", -1),
     ]
 
 

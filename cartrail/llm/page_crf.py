@@ -31,7 +31,8 @@ INLINE = frozenset(
     "small span strike strong sub sup time tt u var wbr br".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = "script|style|noscript|template|svg|title|textarea|select|button|iframe|object|canvas|math"
+# Raw text: no markup counts inside, and if unclosed they run to the end of the page.
+HIDDEN = "script|style|title|textarea|iframe"
 CLOSES_P = frozenset(
     "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav "
     "ol p pre section table ul".split()
@@ -39,7 +40,7 @@ CLOSES_P = frozenset(
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<({HIDDEN})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
+    rf"|<({HIDDEN})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
     r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|</?[a-z][^>]*(?:>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"

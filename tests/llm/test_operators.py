@@ -371,6 +371,21 @@ def test_broken_pages(chain, page):
     assert isinstance(chain.main_text(page), str)
 
 
+@pytest.mark.parametrize(
+    "start", ["<svg width='1'/>", "<math/>", "<button-group>", "<title-bar>", "<select-menu>", "<template-x>",
+              "<button>", "<select>", "<object>", "<canvas>", "<noscript>"]
+)
+def test_the_rest_of_a_page_is_read(start):
+    texts = [b.text for b in page_crf.leaf_blocks(f"<p>a</p>{start}<p>rest one</p><p>rest two</p>")]
+    assert texts == ["a", "rest one", "rest two"]
+
+
+@pytest.mark.parametrize("tag", ["script", "style", "title", "textarea", "iframe"])
+def test_raw_text_is_left_out(tag):
+    texts = [b.text for b in page_crf.leaf_blocks(f"<p>a</p><{tag} x='1'>var <b>x</b></{tag.upper()} ><p>b</p><{tag}>c<p>d")]
+    assert texts == ["a", "b"]
+
+
 # --- decontamination --------------------------------------------------------
 
 

@@ -7,8 +7,8 @@ word's labels depend on the word alone and are computed once per task for
 words that come back.
 
 Training is numpy backpropagation through time on the driver, over a sample
-bounded by ``TRAIN_DOCS`` documents of at most ``TRAIN_BYTES`` bytes for each of
-at most ``MAX_LANGS`` languages. Every document is scored over its whole text.
+bounded for each language by ``TRAIN_DOCS`` different texts and the first
+``TRAIN_CHARS`` characters of each. Every document is scored over its whole text.
 """
 
 from __future__ import annotations
@@ -27,9 +27,10 @@ from cartrail.llm.quality_qda import held_out
 
 HELD_OUT = (4, 2)
 TRAIN_DOCS = 150
-TRAIN_BYTES = 16_384
-MAX_LANGS = 64
+TRAIN_CHARS = 16_384
 TRAIN_WORDS = 40_000
+# However many languages share TRAIN_WORDS, each gets as many.
+LEAST_WORDS = 200
 EMBED, HIDDEN = 12, 20
 EPOCHS, BATCH, RATE = 4, 256, 0.01
 # Longer runs of letters are read in pieces.
@@ -171,7 +172,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 5) -> Network | None:
     if not langs:
         return None
     network = Network(langs, seed)
-    each = max(1, TRAIN_WORDS // len(langs))
+    each = max(LEAST_WORDS, TRAIN_WORDS // len(langs))
     sample: list[tuple[bytes, int]] = []
     for k, lang in enumerate(langs):
         words = sorted(by_lang[lang])
@@ -201,18 +202,18 @@ def fit(rows: list[tuple[str, str]], seed: int = 5) -> Network | None:
 
 
 def train(docs: DataFrame) -> Network | None:
-    """Fit on the bounded sample of documents that are not held out and have a language."""
-    known = docs.filter(
-        F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), HELD_OUT) & (F.octet_length("text") <= TRAIN_BYTES)
-    )
-    langs = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    pick = Window.partitionBy("lang").orderBy("_order", "text")
-    chosen = (
-        known.filter(F.col("lang").isin(langs))
-        .select("lang", "text", F.xxhash64("text").alias("_order"))
+    """Fit on the bounded sample of texts that are not held out and have a language; copies of a text count once."""
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), HELD_OUT))
+    known = known.select("lang", F.substring("text", 1, TRAIN_CHARS).alias("text")).withColumn("_order", F.xxhash64("text"))
+    pick = Window.partitionBy("lang").orderBy("_order")
+    picked = (
+        known.select("lang", "_order")
+        .distinct()
         .withColumn("_n", F.row_number().over(pick))
         .filter(F.col("_n") <= TRAIN_DOCS)
+        .drop("_n")
     )
+    chosen = known.join(picked, ["lang", "_order"], "left_semi").dropDuplicates(["lang", "_order"])
     rows = sorted((r["text"], r["lang"]) for r in chosen.select("text", "lang").collect())
     return fit(rows)
 

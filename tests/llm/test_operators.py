@@ -241,6 +241,23 @@ def test_language_on_held_out_documents(spark):
     assert np.mean([r.lang_pred == r.lang for r in tested]) > 0.97
 
 
+def test_every_language_is_learned(spark):
+    """More than 64 languages, one of long texts only, and one of a text with many copies."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(10 * k + n, f"{letters[k % 26]}{letters[k // 26]} " * (20 + n), f"l{k:02d}") for k in range(70) for n in range(6)]
+    rows += [(2000 + n, "xyx yxy " * (3000 + n), "long") for n in range(5)]
+    rows += [(3000 + n, "qqq", "copied") for n in range(400)] + [(4000 + n, f"{'ww' * (n + 1)}", "copied") for n in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    taken = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(language_gru, "fit", lambda rows: taken.extend(rows))
+        patch.setattr(language_gru, "TRAIN_DOCS", 10)
+        language_gru.train(docs)
+    assert {lang for _, lang in taken} == {r[2] for r in rows}
+    assert all(len(text) <= 16_384 for text, _ in taken) and len(taken) == len(set(taken))
+    assert sum(lang == "copied" for _, lang in taken) == 10
+
+
 # --- tokens -----------------------------------------------------------------
 
 PIECES = st.sampled_from(

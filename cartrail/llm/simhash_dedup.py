@@ -240,10 +240,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """Every document with ``doc_id``, ``_th``, ``fp`` and ``component_id``.
+    """Every document with ``doc_id``, ``_th``, ``fp``, ``label`` and ``component_id``.
 
     ``component_id`` is the smallest doc_id reachable over links of at most
-    RADIUS bits, null if all those ids are null. Texts without words have
+    RADIUS bits, null if all those ids are null; ``label`` is one fingerprint
+    that names the component. Texts without words have
     fingerprint zero and are linked like others. Repeated rows stay.
     """
     found = stored(fingerprints(keyed(docs), ["doc_id", "_th"]))
@@ -253,7 +254,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     labels = components(links(classes)).withColumnRenamed("node", "fp")
     grouped = classes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     smallest = grouped.groupBy("label").agg(F.min("first").alias("component_id"))
-    answer = stored(grouped.join(smallest, "label").select("fp", "n", "component_id"))
+    answer = stored(grouped.join(smallest, "label").select("fp", "n", "label", "component_id"))
     return lookup_by_key(found, answer, ["fp"], "n", found.count())
 
 
@@ -270,12 +271,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Where ids repeat, the smaller text digest decides; equal rows leave one. A
     null id gives way to any other.
     """
-    decided = near_copies(docs).select(F.col("doc_id").alias("_d"), F.col("_th").alias("_t"), "fp", "component_id")
-    # Components whose ids are all null are told apart by their fingerprint label.
+    decided = near_copies(docs).select(F.col("doc_id").alias("_d"), F.col("_th").alias("_t"), "label")
     rank = F.struct(F.col("_d").isNull().alias("none"), F.col("_d").alias("d"), F.col("_t").alias("t"))
-    group = F.when(F.col("component_id").isNull(), F.col("fp"))
     keep = (
-        decided.groupBy("component_id", group.alias("g"))
+        decided.groupBy("label")
         .agg(F.min(rank).alias("k"))
         .select(F.col("k.d").alias("_d"), F.col("k.t").alias("_t"))
     )

@@ -523,6 +523,15 @@ def test_one_document_of_each_group_stays(spark, odd):
     assert {r[0] for r in rows} == {1, 4, 5, None}
 
 
+def test_near_copies_with_null_ids_leave_one(spark):
+    words = [f"w{k}" for k in range(2000)]
+    texts = [" ".join([*words, *more]) for more in ([], ["end"], ["other"])]
+    marks = [slow_fingerprint(t) for t in texts]
+    assert len(set(marks)) > 1 and all(bin(marks[0] ^ m).count("1") <= 3 for m in marks)
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id bigint, text string")
+    assert simhash_dedup.one_of_each(docs).count() == 1
+
+
 def brute_near(docs):
     """The smallest id of each document's group: five-word shingles, similarity of at least 0.8."""
 

@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cartrail.llm import (
     chunk_bpe,
+    fp_tree_search,
     kk_shards,
     language_gru,
     line_dedup,
     maxscore,
     page_crf,
     quality_qda,
+    reply_trees,
     simhash_decon,
     simhash_dedup,
+    spelling_variants,
     warc_fixity,
 )
 from cartrail.llm.common import table
@@ -48,6 +51,14 @@ def op9_simhash_decon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "start_word", "n_words", "similarity")
 
 
+def op11_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reply_trees.chat_report(table(spark, sf_dir, "conversations"))
+
+
+def op13_fp_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fp_tree_search.ranking(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_merkle_fixity": _pages(warc_fixity.audit_pages),
     "op2_kk_shards": _documents(kk_shards.shard_documents),
@@ -59,6 +70,9 @@ QUERIES: dict[str, Query] = {
     "op8_page_crf": _pages(page_crf.main_texts),
     "op9_simhash_decon": op9_simhash_decon,
     "op10_simhash_dedup": _documents(simhash_dedup.near_copy_report),
+    "op11_reply_trees": op11_reply_trees,
+    "op12_spelling_variants": _documents(spelling_variants.variant_report),
+    "op13_fp_tree_search": op13_fp_tree_search,
 }
 
 _FIXITY = """
@@ -190,9 +204,107 @@ from compared where similarity >= 0.8
 qualify row_number() over (partition by doc_id, item_id order by similarity desc, start_word) = 1
 """
 
+_CHAT = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all
+  select -1, turn, role, '<|im_end|><|im_start|>assistant ok'
+  from (values (0, 'user'), (1, 'assistant')) as probe(turn, role)),
+sized as (
+  select *, length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n'))
+            + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + length('<|im_start|><|im_end|>') + 2 as size
+  from turns)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(size)::bigint as formatted_chars
+from sized group by conv_id
+"""
+
+_VARIANTS = """
+with recursive
+crc as (
+  select list_transform(range(256), lambda n: list_reduce(range(8),
+           lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, n)) as t),
+runs as (
+  select coalesce(doc_id::varchar, '') as d,
+         unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[A-Za-zÀ-ÿ]+')) as run
+  from documents),
+counted as (select d, run, count(*) as times, hex(encode(d || ':' || run)) as x from runs where length(run) >= 5 group by d, run),
+summed as (
+  select run, times, xor(4294967295, list_reduce(
+           list_transform(range(length(x) // 2), lambda k: ('0x' || substr(x, 2 * k + 1, 2))::bigint),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295)) as h
+  from counted, crc),
+spelled as (
+  select case when h % 97 = 0 then substr(run, 1, (h % length(run))::bigint) || substr(run, (h % length(run))::bigint + 2)
+              else run end as word, times
+  from summed),
+words as (
+  select word, sum(times)::bigint as n from spelled group by word having sum(times) >= 3 and length(word) >= 5),
+shorter as (
+  select word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) as rest
+  from (select word, n, unnest(range(1, length(word) + 1)) as p from words)),
+pairs as (
+  select a.word, b.word as other, b.n as other_n
+  from shorter a join shorter b on a.rest = b.rest and a.p = b.p and a.word <> b.word
+  union
+  select s.word, w.word, w.n from shorter s join words w on s.rest = w.word
+  union
+  select w.word, s.word, s.n from shorter s join words w on s.rest = w.word),
+near as (
+  select word, count(*) as n_near, arg_min(other, (-other_n, other)) as best, max(other_n) as best_n
+  from pairs group by word),
+formed as (
+  select word, n, coalesce(n_near, 0) as n_near,
+         case when best_n >= 2 * n then best end as form, case when best_n >= 2 * n then best_n end as form_n
+  from words left join near using (word)),
+chain as (
+  select word, word as at from formed
+  union
+  select chain.word, formed.form from chain join formed on formed.word = chain.at where formed.form is not null),
+ends as (
+  select chain.word, chain.at as root from chain join formed on formed.word = chain.at where formed.form is null)
+select word, form, root, n, n_near, form_n from formed join ends using (word)
+"""
+
+_RANKED = r"""
+with terms as (
+  select rowid as doc, doc_id, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from (select row_number() over () as rowid, doc_id, text from documents)),
+counts as (select doc, doc_id, term, count(*) as tf from terms group by all),
+lengths as (select doc, sum(tf) as n from counts group by doc),
+corpus as (select count(*) as docs, sum(n) as length from lengths),
+spread as (
+  select term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::bigint as w
+  from counts, corpus group by term, docs),
+asked as (
+  select distinct item_id, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from benchmark),
+scored as (
+  select item_id, doc, doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // length))))::bigint as score
+  from asked join counts using (term) join spread using (term) join lengths using (doc), corpus
+  group by item_id, doc, doc_id having score > 0),
+ranked as (
+  select item_id, doc_id, score,
+         row_number() over (partition by item_id order by score desc, doc_id nulls last)::int as rank
+  from scored)
+select item_id, rank, doc_id, score from ranked where rank <= 10
+"""
+
 ORACLE: dict[str, str] = {
     "op1_merkle_fixity": _FIXITY,
     "op3_line_dedup": _LINES,
     "op7_maxscore": _TOP,
     "op9_simhash_decon": _DECON,
+    "op11_reply_trees": _CHAT,
+    "op12_spelling_variants": _VARIANTS,
+    "op13_fp_tree_search": _RANKED,
 }

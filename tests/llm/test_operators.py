@@ -24,7 +24,6 @@ from cartrail.llm import (
     maxscore,
     page_crf,
     quality_qda,
-    shingle_copies,
     simhash_decon,
     simhash_dedup,
     warc_fixity,
@@ -532,48 +531,18 @@ def test_near_copies_with_null_ids_leave_one(spark):
     assert simhash_dedup.one_of_each(docs).count() == 1
 
 
-def brute_near(docs):
-    """The smallest id of each document's group: five-word shingles, similarity of at least 0.8."""
-
-    def shingles(text):
-        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-        return {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
-
-    sets = {d: shingles(t) for d, t in docs}
-    group = {d: d for d in sets}
-    for a, b in combinations(sorted(sets), 2):
-        if group[a] != group[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
-            low, high = sorted((group[a], group[b]))
-            group = {d: low if g == high else g for d, g in group.items()}
-    return group
-
-
-@pytest.mark.parametrize("part_rows", [1024, 3])
-def test_the_stage_keeps_one_of_each_group_at_four_fifths(spark, small, monkeypatch, part_rows):
-    """Also with small cells, chains of copies, and passages that many texts share."""
-    monkeypatch.setattr(shingle_copies, "PART_ROWS", part_rows)
-    rng = np.random.default_rng(9)
+def test_the_stage_keeps_the_smallest_id_of_each_component(spark, small):
     rows = [(r.doc_id, r.text) for r in small["documents"].collect()]
-    shared = " ".join(f"s{k}" for k in range(60))
-    for d in range(40):
-        words = [f"w{d % 8}-{k}" for k in range(100)]
-        for at in rng.choice(100, d // 8, replace=False):
-            words[at] = "changed"
-        rows.append((1000 + d, f"{' '.join(words)} {shared}"))
-    rows += [(2000, "few words"), (2001, "Few  words"), (2002, "other words"), (2003, ""), (2004, None)]
+    words = [f"w{k}" for k in range(2000)]
+    rows += [(1000 + k, " ".join([*words, f"end{k}"])) for k in range(4)]
+    rows += [(2001, "Few  words"), (2000, "few words"), (2003, ""), (2002, None)]
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], schema)
-    group = brute_near(rows)
-    assert len(set(group.values())) < len(rows) - 20
-    kept = [r.doc_id for r in shingle_copies.one_of_each(docs).collect()]
-    assert sorted(kept) == sorted(set(group.values()))
-    stage = dict(corpus_pipeline.STAGES)["shingle near-dedup"]
-    assert stage(spark, docs, SMALL).count() == len(kept)
-
-
-def test_null_ids_in_the_stage(spark, odd):
-    rows = [(r.doc_id, r.text) for r in shingle_copies.one_of_each(odd).collect()]
-    assert len(rows) == len(set(rows)) and {r[0] for r in rows} == {1, 4, 5, None}
+    groups = brute_components(rows)
+    stage = dict(corpus_pipeline.STAGES)["SimHash near-dedup"]
+    kept = stage(spark, docs, SMALL)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {d for d in groups if groups[d][1] == d}
 
 
 # --- awkward input and the pipeline -----------------------------------------

@@ -14,20 +14,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartrail.functions.durable import shared_folder
-from cartrail.llm import chunk_bpe, line_dedup, quality_qda, shingle_copies, simhash_decon
+from cartrail.llm import chunk_bpe, line_dedup, quality_qda, simhash_decon, simhash_dedup
 from cartrail.llm.common import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the discriminant rejects. It learns from the labelled documents of the stage's input."""
+    """Drop documents that the discriminant rejects. It learns from the labelled documents of the stage's input.
+
+    Null and empty texts are scored like others; without labels every document stays or goes by the score 0.5.
+    """
     return quality_qda.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies: five-word shingles, similarity of at least 0.8."""
-    return shingle_copies.one_of_each(docs)
+    """Keep the smallest doc_id of each group of near copies: 3-word shingles, at most 3 of 64 bits apart.
+
+    Null and empty texts are near copies of each other; equal rows leave one, and
+    a null id gives way to any other.
+    """
+    return simhash_dedup.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,24 +44,27 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark passage."""
+    """Drop documents that hold a benchmark passage. Null and empty texts hold none and stay."""
     return simhash_decon.clean_of(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode what is left: the columns of documents with ``n_tokens`` and digests of ids and decoded text."""
+    """Encode what is left: the columns of documents with ``n_tokens`` and digests of ids and decoded text.
+
+    A null text is encoded as an empty one; repeated rows stay.
+    """
     return chunk_bpe.encoding_report(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality classifier", quality),
-    ("shingle near-dedup", near_copies),
+    ("SimHash near-dedup", near_copies),
     ("substring dedup", repeated_passages),
     ("benchmark decontamination", benchmark_leaks),
     ("bpe encoding", tokens),
 ]
 
-# Shingle sets and the tokenizer have no SQL form; tests compare with brute force.
+# Fingerprints and the tokenizer have no SQL form; tests compare with brute force.
 ORACLE_SQL: str | None = None
 
 

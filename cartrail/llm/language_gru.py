@@ -19,15 +19,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartrail.functions.lookup import small_lookup
 from cartrail.llm.common import in_groups, small_batches
 from cartrail.llm.quality_qda import held_out
 
 HELD_OUT = (4, 2)
 TRAIN_DOCS = 150
 TRAIN_CHARS = 16_384
+PICK_PARTS = 64
 TRAIN_WORDS = 40_000
 # However many languages share TRAIN_WORDS, each gets as many.
 LEAST_WORDS = 200
@@ -157,8 +160,11 @@ class Network:
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters in lower case."""
-    return re.findall(LETTERS, (text or "").lower())
+    """Runs of letters in lower case; signs such as a raised two or a half are no letters."""
+    runs = re.findall(LETTERS, (text or "").lower())
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [word for run in runs for word in ([run] if run.isalpha() else regex.findall(r"\p{L}+", run))]
 
 
 def fit(rows: list[tuple[str, str]], seed: int = 5) -> Network | None:
@@ -205,15 +211,13 @@ def train(docs: DataFrame) -> Network | None:
     """Fit on the bounded sample of texts that are not held out and have a language; copies of a text count once."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), HELD_OUT))
     known = known.select("lang", F.substring("text", 1, TRAIN_CHARS).alias("text")).withColumn("_order", F.xxhash64("text"))
-    pick = Window.partitionBy("lang").orderBy("_order")
-    picked = (
-        known.select("lang", "_order")
-        .distinct()
-        .withColumn("_n", F.row_number().over(pick))
-        .filter(F.col("_n") <= TRAIN_DOCS)
-        .drop("_n")
-    )
-    chosen = known.join(picked, ["lang", "_order"], "left_semi").dropDuplicates(["lang", "_order"])
+    # A language may hold most rows: each of its parts picks first.
+    part = F.pmod("_order", F.lit(PICK_PARTS)).alias("_part")
+    picked = known.select("lang", "_order", part).distinct()
+    for keys in (["lang", "_part"], ["lang"]):
+        pick = Window.partitionBy(*keys).orderBy("_order")
+        picked = picked.withColumn("_n", F.row_number().over(pick)).filter(F.col("_n") <= TRAIN_DOCS).drop("_n")
+    chosen = known.join(small_lookup(picked.drop("_part")), ["lang", "_order"], "left_semi").dropDuplicates(["lang", "_order"])
     rows = sorted((r["text"], r["lang"]) for r in chosen.select("text", "lang").collect())
     return fit(rows)
 

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 SHARD_ROWS = 8192
 QUERY_ROWS = 1024
 SCALE = 256
+# Products of 2^52 leave room for sums over a thousand dimensions.
+LARGEST = 1 << 18
 # Rows per leading term that are scored first, for a first k-th score.
 HEAD_ROWS = 8
 HEAD_TERMS = 6
@@ -111,7 +113,8 @@ def scaled(embeddings: DataFrame) -> DataFrame:
     """``vec_id`` and ``vector``, the components times SCALE rounded down.
 
     Rows without an id, without a vector, or with a null, NaN or infinite
-    component are left out.
+    component are left out. A component beyond LARGEST in size is an error, as
+    inner products of such vectors do not fit 64 bits.
     """
     unfit = F.exists(
         "embedding",
@@ -121,7 +124,12 @@ def scaled(embeddings: DataFrame) -> DataFrame:
         F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.coalesce(unfit, F.lit(False))
     ).select(
         F.col("vec_id").cast("bigint").alias("vec_id"),
-        F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("bigint")).alias("vector"),
+        F.transform(
+            "embedding",
+            lambda x: F.when(F.abs(x) <= LARGEST, F.floor(x.cast("double") * SCALE).cast("bigint")).otherwise(
+                F.raise_error(F.lit(f"a vector component is larger than {LARGEST}")).cast("bigint")
+            ),
+        ).alias("vector"),
     )
 
 

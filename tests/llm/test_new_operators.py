@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cartrail.llm import fp_tree_search, reply_trees, spelling_variants
+from cartrail.llm import fp_tree_search, language_gru, maxscore, reply_trees, spelling_variants
 
 MESSAGES = "tree_id bigint, message_id bigint, parent_id bigint, role string, text string, score double"
 CHAT = "conv_id bigint, turn bigint, role string, text string, score string, head string"
@@ -263,3 +263,21 @@ def test_a_long_text_is_read_in_stretches(monkeypatch):
     whole = [w for words in fp_tree_search.words_of(text) for w in words]
     monkeypatch.setattr(fp_tree_search, "STRETCH", 7)
     assert [w for words in fp_tree_search.words_of(text) for w in words] == whole == fold(text).encode().split()
+
+
+# --- earlier operators: what they once got wrong ------------------------------------
+
+
+def test_signs_that_are_no_letters_have_no_language(spark):
+    rows = [(k, t, "en" if k % 2 else "de") for k, t in enumerate(["der hund lief", "the cat sat"] * 20)]
+    docs = spark.createDataFrame(rows + [(99, "½ ² Ⅷ", None), (98, None, None), (97, "x²y", None)], "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_gru.language_report(docs).collect()}
+    assert got[99] == got[98] == "und" and got[97] in ("en", "de")
+    assert language_gru.words_of("ab½c Ünd x²") == ["ab", "c", "ünd", "x"]
+
+
+def test_vectors_whose_products_do_not_fit_are_an_error(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1e30, 0.0])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="component is larger"):
+        maxscore.scaled(rows).collect()
+    assert [r.vector for r in maxscore.scaled(rows.filter("vec_id = 1")).collect()] == [[256, 512]]

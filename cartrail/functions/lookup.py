@@ -24,6 +24,16 @@ def settled(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame:
     return durable(df) if literal is None else literal
 
 
+def kept(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame:
+    """As ``settled``, but literal rows come as one partition.
+
+    Joins by merge, sums and windows over such tables need no exchange, so a
+    plan of many steps over small tables runs as a single task.
+    """
+    literal = _literal(df, max_rows)
+    return durable(df) if literal is None else literal.coalesce(1)
+
+
 def small_lookup(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``max_rows`` rows.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,72 +41,110 @@ def footprint(log: EventLog) -> DataFrame:
     return pairs.select(F.explode(both).alias("pair")).select("pair.*")
 
 
+def _vertices(relations: DataFrame) -> DataFrame:
+    """Each activity as an input ``i..`` and as an output ``o..``: (v, related, linked).
+
+    ``related`` are the vertices of the same side that it cannot stand beside,
+    ``linked`` those of the other side that it can. Activities that follow themselves are left out.
+    """
+    loops = relations.filter(F.col("a") == F.col("b")).select(F.col("a").alias("x"))
+    apart = relations.join(loops.withColumnRenamed("x", "a"), "a", "left_anti").join(
+        loops.withColumnRenamed("x", "b"), "b", "left_anti"
+    )
+
+    def side(own: str, other: str, mine: str, theirs: str) -> DataFrame:
+        forth = F.when(F.col("relation") == CAUSES, F.concat(F.lit(other), theirs))
+        return apart.groupBy(F.concat(F.lit(own), mine).alias("v")).agg(
+            F.collect_set(F.concat(F.lit(own), theirs)).alias("related"), F.collect_set(forth).alias("linked")
+        )
+
+    return side("i", "o", "a", "b").unionByName(side("o", "i", "b", "a"))
+
+
+def _among(vertices: Column, near: Column, side: Column) -> Column:
+    """Those of ``vertices`` that a vertex of the given side cannot be with; ``near`` has its lists."""
+    beside = F.filter(vertices, lambda v: v.startswith(side))
+    across = F.filter(vertices, lambda v: ~v.startswith(side))
+    return F.concat(F.array_intersect(beside, near["related"]), F.array_except(across, near["linked"]))
+
+
 def maximal_pairs(relations: DataFrame) -> DataFrame:
     """Maximal (inputs, outputs): every input causes every output, and neither
     the inputs nor the outputs have any relation among themselves.
 
-    Grows pairs of sets by one activity per round. Every part of a valid pair
-    is valid, so a pair that no single activity extends is maximal.
+    A search over states (taken, open, past): what is in the pair, what can still
+    be added, and what could but was tried before. It starts at every causal pair
+    (a, b) as the first input and output by name. A round closes each state over all that nothing
+    open speaks against, drops it if something of the past fits all the rest,
+    and branches on the open vertices that do not go with a chosen one. So every maximal pair
+    is reached by one way, and parts of a pair are no states of their own.
     """
-    loops = relations.filter(F.col("a") == F.col("b")).select(F.col("a").alias("x"))
-    related = relations.groupBy(F.col("a").alias("x")).agg(F.collect_set("b").alias("related"))
-    causes = relations.filter(F.col("relation") == CAUSES).select("a", "b")
-    outs = causes.groupBy(F.col("a").alias("x")).agg(F.collect_set("b").alias("causes"))
-    ins = causes.groupBy(F.col("b").alias("x")).agg(F.collect_set("a").alias("caused_by"))
-    about = (
-        related.join(outs, "x", "left").join(ins, "x", "left").join(loops, "x", "left_anti")
+    vertices = settled(_vertices(relations))
+    at = lambda name: vertices.select(F.col("v").alias(name), F.struct("related", "linked").alias(f"at_{name}"))
+    pairs = (
+        relations.filter(F.col("relation") == CAUSES)
+        .select(F.concat(F.lit("i"), "a").alias("a"), F.concat(F.lit("o"), "b").alias("b"))
+        .join(at("a"), "a")
+        .join(at("b"), "b")
     )
-    left, right = about.alias("l"), about.alias("r")
-    causal = settled(
-        causes.join(left, F.col("a") == F.col("l.x"))
-        .join(right, F.col("b") == F.col("r.x"))
-        .select(
-            "a",
-            "b",
-            F.col("l.related").alias("a_related"),
-            F.col("l.causes").alias("a_causes"),
-            F.col("r.related").alias("b_related"),
-            F.col("r.caused_by").alias("b_caused_by"),
+    ins = F.array_except(F.col("at_b.linked"), F.array_union(F.col("at_a.related"), F.array("a")))
+    outs = F.array_except(F.col("at_a.linked"), F.array_union(F.col("at_b.related"), F.array("b")))
+    common = F.concat(ins, outs)
+    first = lambda v: v < F.when(v.startswith("i"), F.col("a")).otherwise(F.col("b"))
+    states = settled(
+        pairs.select(
+            F.array("a", "b").alias("taken"),
+            F.filter(common, lambda v: ~first(v)).alias("open"),
+            F.filter(common, first).alias("past"),
         )
     )
-    found: DataFrame | None = None
-    open_pairs = settled(
-        causal.select(F.array("a").alias("inputs"), F.array("b").alias("outputs"))
-    )
-    while not open_pairs.isEmpty():
-        wider_in = (
-            open_pairs.join(causal, F.col("outputs")[0] == F.col("b"))
-            .filter(~F.array_contains("inputs", F.col("a")))
-            .filter(F.size(F.array_except("outputs", "a_causes")) == 0)
-            .filter(~F.arrays_overlap("inputs", "a_related"))
+    found = []
+    while not states.isEmpty():
+        found.append(states.filter((F.size("open") == 0) & (F.size("past") == 0)).select("taken"))
+        going = states.filter(F.size("open") > 0)
+        tried = going.withColumn("v", F.explode(F.concat("open", "past"))).join(at("v"), "v")
+        against = F.array_except(_among(F.col("open"), F.col("at_v"), F.substring("v", 1, 1)), F.array("v"))
+        is_open = F.array_contains("open", F.col("v"))
+        one = F.struct(F.size(against).alias("n"), F.col("v").alias("v"), against.alias("against"), is_open.alias("open"))
+        closed = (
+            tried.select("taken", "open", "past", one.alias("one"))
+            .groupBy("taken", "open", "past")
+            .agg(F.collect_list("one").alias("each"))
+            # Something of the past that fits all that is open fits every pair from here.
+            .filter(~F.exists("each", lambda e: (e["n"] == 0) & ~e["open"]))
+            .withColumn("free", F.transform(F.filter("each", lambda e: e["n"] == 0), lambda e: e["v"]))
             .select(
-                "inputs",
-                "outputs",
-                F.array_sort(F.array_append("inputs", F.col("a"))).alias("next_inputs"),
-                F.col("outputs").alias("next_outputs"),
+                F.concat("taken", "free").alias("taken"),
+                F.array_except("open", "free").alias("open"),
+                F.transform(
+                    F.filter("each", lambda e: ~e["open"] & ~F.arrays_overlap(e["against"], "free")), lambda e: e["v"]
+                ).alias("past"),
+                F.array_min(F.filter("each", lambda e: e["n"] > 0)).alias("pivot"),
             )
         )
-        wider_out = (
-            open_pairs.join(causal, F.col("inputs")[0] == F.col("a"))
-            .filter(~F.array_contains("outputs", F.col("b")))
-            .filter(F.size(F.array_except("inputs", "b_caused_by")) == 0)
-            .filter(~F.arrays_overlap("outputs", "b_related"))
-            .select(
-                "inputs",
-                "outputs",
-                F.col("inputs").alias("next_inputs"),
-                F.array_sort(F.array_append("outputs", F.col("b"))).alias("next_outputs"),
-            )
+        ways = F.array_sort(F.concat(F.col("pivot.against"), F.when(F.col("pivot.open"), F.array("pivot.v")).otherwise(F.array())))
+        ends = closed.filter(F.size("open") == 0).select("taken", "open", "past")
+        branches = (
+            closed.filter(F.size("open") > 0)
+            .withColumn("ways", ways)
+            .select("*", F.posexplode("ways").alias("nth", "v"))
+            .join(at("v"), "v")
         )
-        wider = settled(wider_in.unionByName(wider_out))
-        maximal = open_pairs.join(wider, ["inputs", "outputs"], "left_anti")
-        found = maximal if found is None else found.unionByName(maximal)
-        open_pairs = settled(
-            wider.select(
-                F.col("next_inputs").alias("inputs"), F.col("next_outputs").alias("outputs")
-            ).distinct()
+        earlier = F.slice("ways", F.lit(1), F.col("nth"))
+
+        def beside(some: Column) -> Column:
+            """What of ``some`` goes with the vertex that a branch takes."""
+            return F.array_except(some, F.concat(_among(some, F.col("at_v"), F.substring("v", 1, 1)), F.array("v")))
+
+        grown = branches.select(
+            F.array_append("taken", F.col("v")).alias("taken"),
+            beside(F.array_except("open", earlier)).alias("open"),
+            beside(F.concat("past", earlier)).alias("past"),
         )
-    return open_pairs if found is None else found
+        states = settled(ends.unionByName(grown))
+    names = lambda side: F.array_sort(F.transform(F.filter("taken", lambda v: v.startswith(side)), lambda v: F.substring(v, F.lit(2), F.length(v))))
+    every = functools.reduce(DataFrame.unionByName, found) if found else states.select("taken")
+    return every.select(names("i").alias("inputs"), names("o").alias("outputs"))
 
 
 def _set_text(names: Column) -> Column:

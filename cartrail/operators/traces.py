@@ -7,16 +7,19 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartrail.functions.durable import durable
-from cartrail.functions.lookup import small_lookup
+from cartrail.functions.lookup import settled, small_lookup
 from cartrail.functions.ordering import Ordered
 from cartrail.spec import EventLog
 
 # Fixed value: the text between two steps of a path.
 ARROW = " -> "
 
-# Longest path that is written out as text; any path can be had as rows.
-MAX_TEXT_STEPS = 1_000_000
+# Steps that are joined to one stretch of text before the stretches of a path are.
+TEXT_STEPS = 65_536
+
+# A node of a path tree is named by sums of this many digests of 31 bits, which
+# four billion steps cannot overflow.
+NODE_SUMS = 3
 
 
 def traces(log: EventLog) -> DataFrame:
@@ -170,20 +173,35 @@ def variants(log: EventLog, collapse: bool = True) -> DataFrame:
     )
 
 
+def _only_cases(log: EventLog, cases: DataFrame) -> EventLog:
+    """The log of the given cases alone.
+
+    Ordinary cases are looked up by the key they are then ordered by; hot ones,
+    few by their size, by broadcast, so that their rows stay where they are.
+    """
+    case, hot = log.spec.case, log.hot(log.spec.case)
+    if not hot:
+        return replace(log, df=log.df.join(cases, case, "left_semi"))
+    is_hot = F.col(case).isin(hot)
+    cold = log.df.filter(~F.coalesce(is_hot, F.lit(False))).join(cases, case, "left_semi")
+    large = log.df.filter(is_hot).join(F.broadcast(cases.filter(is_hot)), case, "left_semi")
+    return replace(log, df=cold.unionByName(large))
+
+
 def variant_steps(log: EventLog, found: DataFrame, collapse: bool = True) -> DataFrame:
     """The steps (variant_id, pos, activity) of the given variants of a log.
 
-    They are read off the first case of each. Hot cases, few by their size, are
-    looked up by broadcast, so their rows stay where they are.
+    They are read off the first case of each, and only those cases are ordered.
     """
     case = log.spec.case
     shown = found.select("variant_id", F.col("first_case").alias("_shown"))
+    some = _only_cases(log, shown.select(F.col("_shown").alias(case)))
 
     def of(seq: Ordered, some: DataFrame) -> DataFrame:
         steps = _steps(seq, log)
         return steps.join(some, steps["case_id"] == some["_shown"]).select("variant_id", "pos", "activity")
 
-    seq = _sequences(log, collapse)
+    seq = _sequences(some, collapse)
     cold = of(replace(seq, hot=None), shown)
     if seq.hot is None:
         return cold
@@ -192,26 +210,63 @@ def variant_steps(log: EventLog, found: DataFrame, collapse: bool = True) -> Dat
     return cold.unionByName(of(replace(seq, cold=seq.cold.limit(0)), some))
 
 
-def with_paths(
-    log: EventLog, found: DataFrame, collapse: bool = True, max_text_steps: int = MAX_TEXT_STEPS
-) -> DataFrame:
+def with_paths(log: EventLog, found: DataFrame, collapse: bool = True, text_steps: int = TEXT_STEPS) -> DataFrame:
     """The given variants with their steps as one text, ``path``.
 
-    ``path`` is null where a variant has more than ``max_text_steps`` steps and
-    does not fit a row; ``variant_steps`` lists the steps of any variant.
+    Stretches of ``text_steps`` steps are joined first, each in a task of its own,
+    and then the stretches of a path, so that a long path is never held as an array of its steps.
     """
+    stretch = F.floor((F.col("pos") - 1) / text_steps)
+    joined = lambda rows: F.array_join(F.array_sort(rows)["text"], ARROW)
     texts = (
-        variant_steps(log, found.filter(F.col("steps") <= max_text_steps), collapse)
+        variant_steps(log, found, collapse)
+        .groupBy("variant_id", stretch.alias("at"))
+        .agg(joined(F.collect_list(F.struct("pos", F.col("activity").alias("text")))).alias("text"))
         .groupBy("variant_id")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "activity")))["activity"].alias("_path"))
-        .select("variant_id", F.array_join("_path", ARROW).alias("path"))
+        .agg(joined(F.collect_list(F.struct("at", "text"))).alias("path"))
     )
     return found.join(texts, "variant_id", "left")
 
 
+def path_tree(log: EventLog, collapse: bool = True) -> DataFrame:
+    """All paths as one tree: (node, parent, pos, activity, cases, first_case).
+
+    Each event of a case stands for the path up to it. Paths are named by their
+    length and the sums, along the case, of digests of each (position, step);
+    the parent's name is that less the last digest. So one running sum a case, in
+    blocks where a case is large, names all nodes at once, whatever their depth,
+    and equal paths meet in one group that combines before the shuffle. ``cases`` counts the
+    cases that begin with the path; a root has no parent.
+    """
+    s = log.spec
+    seq = _sequences(log, collapse).numbered("_at")
+    digest = F.md5(F.concat_ws("|", "_at", s.activity))
+    parts = [F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("bigint").bitwiseAND(0x7FFFFFFF) for k in range(NODE_SUMS)]
+    for k, part in enumerate(parts):
+        seq = seq.running_sum(part, f"_s{k}")
+
+    def name(at: Column, sums: list[Column]) -> Column:
+        return F.concat_ws("-", at, *[F.hex(x) for x in sums])
+
+    here = [F.col(f"_s{k}") for k in range(NODE_SUMS)]
+    above = [x - part for x, part in zip(here, parts)]
+    return (
+        seq.rows()
+        .select(
+            name(F.col("_at"), here).alias("node"),
+            F.when(F.col("_at") > 1, name(F.col("_at") - 1, above)).alias("parent"),
+            F.col("_at").alias("pos"),
+            F.col(s.activity).alias("activity"),
+            F.col(s.case).alias("_case"),
+        )
+        .groupBy("node", "parent", "pos", "activity")
+        .agg(F.count(F.lit(1)).alias("cases"), F.min("_case").alias("first_case"))
+    )
+
+
 def top_paths(log: EventLog, top: int = 5) -> DataFrame:
     """Most frequent collapsed paths; ties by the smallest case id."""
-    best = durable(variants(log).orderBy(F.col("cases").desc(), "first_case").limit(top))
+    best = settled(variants(log).orderBy(F.col("cases").desc(), "first_case").limit(top))
     by_rank = Window.orderBy(F.col("cases").desc(), "first_case")
     return with_paths(log, best).select(
         F.row_number().over(by_rank).cast("bigint").alias("rank"), "path", "cases", "first_case"

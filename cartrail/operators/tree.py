@@ -3,16 +3,19 @@
 All open nodes of the tree are split in the same round. A round takes the
 relations between neighbouring events of every node from the event rows, lets
 ``functions.cuts`` choose each node's operator from those relations (and those of
-all nodes below that follow from them), and moves the event rows to the children. Rows stay rows throughout, one per event of a
-distinct trace, so neither the log nor a trace has to fit one task.
+all nodes below that follow from them), and moves the event rows to the children.
+Rows stay rows throughout, one per event of a distinct trace, so neither the log
+nor a trace has to fit one task.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartrail.functions.cuts import ENDS, SPLIT, STARTS, split_node
+from cartrail.functions.cuts import ENDS, STARTS, split_nodes
 from cartrail.functions.durable import durable
 from cartrail.functions.lookup import settled
 from cartrail.functions.ordering import Ordered, hot_keys
@@ -41,7 +44,7 @@ def _distinct_traces(log: EventLog) -> DataFrame:
 
 
 def _facts(rows: DataFrame, ordered: Ordered) -> DataFrame:
-    """Per node: edges, starts, ends, and activities every trace has exactly once."""
+    """Per node: points, edges, starts, ends, and activities every trace has exactly once."""
     before = ordered.over(1, lambda df, w: df.withColumn("prev", F.lag("activity").over(w)))
     neighbours = (
         before.rows()
@@ -70,7 +73,58 @@ def _facts(rows: DataFrame, ordered: Ordered) -> DataFrame:
         name = F.col(column)
         return df.select("node", F.lit(kind).alias("kind"), name.alias("a"), name.alias("b")).distinct()
 
-    return neighbours.unionByName(single(ends, "end", "a")).unionByName(single(once, "once", "activity"))
+    return (
+        neighbours.unionByName(single(ends, "end", "a"))
+        .unionByName(single(once, "once", "activity"))
+        .unionByName(single(per_trace, "point", "activity"))
+    )
+
+
+def _runs(rows: DataFrame, ordered: Ordered) -> DataFrame:
+    """(node, activity, before, after): what stands around the runs of each activity.
+
+    ``before`` is null where a run begins its trace, ``after`` where it ends it.
+    """
+    same = F.col("activity") == F.col("prev")
+    runs = (
+        ordered.over(1, lambda df, w: df.withColumn("prev", F.lag("activity").over(w)))
+        .filter(F.col("prev").isNull() | ~same)
+        .over(1, lambda df, w: df.withColumn("prev2", F.lag("prev").over(w)))
+    )
+    between = runs.rows().filter("prev is not null").select(
+        "node", F.col("prev").alias("run"), F.col("prev2").alias("before"), F.col("activity").alias("after")
+    )
+    last = runs.rows().groupBy("node", "trace").agg(F.max_by(F.struct("activity", "prev"), "pos").alias("l"))
+    closing = last.select(
+        "node", F.col("l.activity").alias("run"), F.col("l.prev").alias("before"), F.lit(None).cast("string").alias("after")
+    )
+    return between.unionByName(closing).distinct()
+
+
+def _without_each(facts: DataFrame, runs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The facts of the given nodes without each of their activities in turn.
+
+    Taking an activity out joins what stands before and after its runs and
+    changes nothing else, so the new facts are the old ones that do not name it,
+    with those joints. The node without activity a is called ``node~a``.
+    """
+    facts, runs = facts.join(nodes, "node"), runs.join(nodes, "node")
+    out = facts.filter("kind = 'point'").select("node", F.col("a").alias("run"))
+    kept = facts.filter("kind <> 'once'").join(out, "node").filter("a <> run and b <> run")
+    before, after = F.col("before"), F.col("after")
+    joints = runs.filter("before is not null or after is not null").select(
+        "node",
+        "run",
+        F.when(before.isNull(), "start").when(after.isNull(), "end").otherwise("edge").alias("kind"),
+        F.coalesce(before, after).alias("a"),
+        F.coalesce(after, before).alias("b"),
+    )
+    return (
+        kept.select("node", "run", "kind", "a", "b")
+        .unionByName(joints)
+        .select(F.concat_ws("~", "node", "run").alias("node"), "kind", "a", "b")
+        .distinct()
+    )
 
 
 def _tree_row(node: Column, kind: Column, activity: Column | None = None) -> Column:
@@ -118,11 +172,10 @@ def _round_nodes(decided: DataFrame, marked: DataFrame, optional: DataFrame) ->
     return nodes.unionByName(skips)
 
 
-def _grow(log: EventLog) -> DataFrame:
+def _grow(rows: DataFrame, hot_rows: int, has_hot: bool) -> DataFrame:
     """All tree nodes before nested operators are joined: (node, kind, activity)."""
-    rows = durable(_distinct_traces(log))
-    has_hot = bool(log.hot(log.spec.case))
-    tree = log.df.sparkSession.createDataFrame([], TREE)
+    rows = durable(rows)
+    tree = rows.sparkSession.createDataFrame([], TREE)
     op, part = F.col("op"), F.col("part")
     silent = op.isin("strict_tau_loop", "tau_loop")
     ends_here = op.isin("activity", "flower")
@@ -130,14 +183,12 @@ def _grow(log: EventLog) -> DataFrame:
     is_open = not rows.isEmpty()
 
     while is_open:
-        hot = hot_keys(rows, "trace", log.hot_rows) if has_hot else []
-        ordered = Ordered.of(rows, "trace", ["pos"], hot, log.hot_rows)
-        # One group is the relations of one node: at most its alphabet squared.
-        decided = settled(
-            _facts(rows, ordered)
-            .groupBy("node")
-            .applyInPandas(split_node, SPLIT)
-        ).withColumn("child", child)
+        hot = hot_keys(rows, "trace", hot_rows) if has_hot else []
+        ordered = Ordered.of(rows, "trace", ["pos"], hot, hot_rows)
+        facts = settled(_facts(rows, ordered))
+        runs = _runs(rows, ordered)
+        without = functools.partial(_without_each, facts, runs)
+        decided = settled(split_nodes(facts, without)).withColumn("child", child)
         skipped = decided.filter("optional").select("child")
         decided = decided.drop("optional")
         splits = decided.filter("last").filter(~ends_here).drop("node").withColumnRenamed("root", "node")
@@ -234,7 +285,16 @@ def process_tree(log: EventLog) -> DataFrame:
     directly under the same operator is joined with it, except loops. The
     first child of a loop is its body, the others are its redo parts.
     """
-    grown = _grow(log)
+    return grown_trees(_distinct_traces(log), log.hot_rows, bool(log.hot(log.spec.case)))
+
+
+def grown_trees(rows: DataFrame, hot_rows: int, has_hot: bool = False) -> DataFrame:
+    """The trees of several logs at once, as rows like those of ``process_tree``.
+
+    ``rows`` are the events (node, trace, pos, activity) of distinct traces; ``node`` is
+    a number that names the log and then the root of its tree. Trace names are not shared.
+    """
+    grown = _grow(rows, hot_rows, has_hot)
     path = F.split("node", r"\.")
     parent = F.array_join(F.slice(path, 1, F.size(path) - 1), ".")
     nodes = grown.withColumn("parent", F.when(F.size(path) > 1, parent))

@@ -365,6 +365,22 @@ WHERE prev IS NOT NULL GROUP BY ALL""",
         PATHS,
         """SELECT DISTINCT p.variant_id, k.cpos AS pos, k.event_type AS activity
 FROM paths p JOIN kept k USING (user_session)""",
+    ),
+    "path_tree": _sql(
+        STEPS,
+        f"""SELECT any_value(node) AS node, any_value(parent) AS parent, pos, any_value(activity) AS activity,
+       count(*) AS cases, min(user_session) AS first_case
+FROM (
+  SELECT *, string_agg(activity, ' -> ') OVER w AS path,
+         concat_ws('-', pos, {", ".join(f"hex((sum(d{k}) OVER w)::bigint)" for k in range(3))}) AS node,
+         CASE WHEN pos > 1 THEN
+           concat_ws('-', pos - 1, {", ".join(f"hex((sum(d{k}) OVER w)::bigint - d{k})" for k in range(3))}) END AS parent
+  FROM (
+    SELECT user_session, cpos AS pos, event_type AS activity,
+           {", ".join(f"CAST('0x' || substr(md5(cpos || '|' || event_type), {8 * k + 1}, 8) AS BIGINT) & 2147483647 AS d{k}" for k in range(3))}
+    FROM kept)
+  WINDOW w AS (PARTITION BY user_session ORDER BY pos))
+GROUP BY pos, path""",
     ),
     "top_paths": _sql(
         PATHS,

@@ -121,6 +121,10 @@ def variant_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.variant_steps(log, durable(traces.variants(log)))
 
 
+def path_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traces.path_tree(bindings.session_log(spark, sf_dir))
+
+
 def next_activity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = traces.next_activity_pairs(bindings.session_log(spark, sf_dir))
     return pairs.select("case_id", F.array_join("x", ",").alias("x"), "y")
@@ -245,6 +249,7 @@ QUERIES: dict[str, Query] = {
     "variants": variants,
     "variants_raw": variants_raw,
     "variant_steps": variant_steps,
+    "path_tree": path_tree,
     "top_paths": _session(traces.top_paths),
     "activity_share": _session(traces.activity_share),
     "important_steps": important_steps,

@@ -4,13 +4,13 @@ import itertools
 import random
 from collections import deque
 
-import pandas as pd
 import pytest
 from pytest import approx
 
 from cartrail.functions import cuts
 from cartrail.operators import discovery, graph, predict, sampling, tree
 from cartrail.plans import report
+import dense_cuts
 from conftest import as_set
 
 
@@ -84,6 +84,43 @@ def test_alpha_places_are_the_maximal_pairs(make_log):
     assert got == {(",".join(x), ",".join(y)) for x, y in best} | {("", "a"), ("d,f", "")}
 
 
+def brute_pairs(relations):
+    """All maximal pairs, from every pair of sets."""
+    acts = sorted({x for r in relations for x in r[:2]})
+    related = {r[:2] for r in relations}
+    causes = {r[:2] for r in relations if r[2] == "->"}
+    apart = lambda s: all((a, b) not in related for a in s for b in s)
+    sets = [s for k in range(1, len(acts) + 1) for s in itertools.combinations(acts, k) if apart(s)]
+    pairs = [(x, y) for x in sets for y in sets if all((a, b) in causes for a in x for b in y)]
+    return sorted(
+        (x, y) for x, y in pairs if not any(set(x) <= set(p) and set(y) <= set(q) and (x, y) != (p, q) for p, q in pairs)
+    )
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_maximal_pairs_of_random_relations(spark, seed):
+    rng = random.Random(seed)
+    relations = [("a", "a", "||")] if seed % 2 else []
+    for a, b in itertools.combinations("abcdefg", 2):
+        kind = rng.random()
+        if kind < 0.5:
+            a, b = (a, b) if kind < 0.25 else (b, a)
+            relations += [(a, b, "->"), (b, a, "<-")]
+        elif kind < 0.55:
+            relations += [(a, b, "||"), (b, a, "||")]
+    df = spark.createDataFrame(relations, "a string, b string, relation string")
+    got = [(tuple(r.inputs), tuple(r.outputs)) for r in discovery.maximal_pairs(df).collect()]
+    assert sorted(got) == brute_pairs(relations)
+
+
+def test_a_place_of_twelve_by_twelve(spark):
+    """Its parts are no rows: the search goes from a causal pair to the whole place."""
+    forth = [(f"x{i:02d}", f"y{j:02d}", "->") for i in range(12) for j in range(12)]
+    df = spark.createDataFrame(forth + [(b, a, "<-") for a, b, _ in forth], "a string, b string, relation string")
+    rows = discovery.maximal_pairs(df).collect()
+    assert [(len(r.inputs), len(r.outputs)) for r in rows] == [(12, 12)]
+
+
 def text(rows):
     below = {}
     for r in rows:
@@ -98,21 +135,20 @@ def text(rows):
     return show(below[None][0])
 
 
-@pytest.mark.parametrize(
-    "cases, want",
-    [
-        (["a"], "a"),
-        (["abc"], "sequence(a, b, c)"),
-        (["ab", "cd"], "xor(sequence(a, b), sequence(c, d))"),
-        (["abc", "ac"], "sequence(a, xor(tau, b), c)"),
-        (["a", "ab", "abc"], "sequence(a, xor(tau, sequence(b, xor(tau, c))))"),
-        (["abcd", "acbd", "aed"], "sequence(a, xor(parallel(b, c), e), d)"),
-        (["ab", "abcab"], "loop(sequence(a, b), c)"),
-        (["abbb", "ab"], "sequence(a, loop(b, tau))"),
-    ],
-)
-def test_process_tree(make_log, cases, want):
-    assert text(tree.process_tree(make_log(cases)).collect()) == want
+KNOWN = [
+    (["a"], "a"),
+    (["abc"], "sequence(a, b, c)"),
+    (["ab", "cd"], "xor(sequence(a, b), sequence(c, d))"),
+    (["abc", "ac"], "sequence(a, xor(tau, b), c)"),
+    (["a", "ab", "abc"], "sequence(a, xor(tau, sequence(b, xor(tau, c))))"),
+    (["abcd", "acbd", "aed"], "sequence(a, xor(parallel(b, c), e), d)"),
+    (["ab", "abcab"], "loop(sequence(a, b), c)"),
+    (["abbb", "ab"], "sequence(a, loop(b, tau))"),
+    # No cut, and no activity that every case has once: one runs beside a cut of the others.
+    (["cd", "dcadc"], "parallel(xor(tau, a), loop(c, tau), loop(d, tau))"),
+    (["abd", "cab", "dcb"], "parallel(b, xor(tau, a), sequence(xor(tau, d), xor(tau, c)))"),
+    (["abc", "xabc", "axbc", "abxxc", "abcx", "xabxc"], "parallel(sequence(a, b, c), xor(tau, loop(x, tau)))"),
+]
 
 
 def test_flows_of_a_loop(make_log):
@@ -128,11 +164,83 @@ def test_flows_of_a_loop(make_log):
     }
 
 
-def test_flower_when_nothing_else_holds():
+def random_logs(count):
+    rng = random.Random(4)
+    logs = [["ab", "ba", "aab"], ["axb", "xab", "abx", "aabxx"], ["abcabc", "acb", "cc"], ["a" * 5, "a"], ["xaybxz", "aybz", "aybxxz"]]
+    while len(logs) < count:
+        letters = "abcdef"[: rng.randint(2, 6)]
+        if rng.random() < 0.5:
+            logs.append(["".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 5))])
+        else:
+            # Shuffled stretches of a fixed order, with steps left out.
+            cut = rng.randint(0, len(letters))
+            logs.append(
+                [
+                    "".join(a for part in (letters[:cut], letters[cut:]) for a in rng.sample(part, len(part)) if rng.random() < 0.8) or "a"
+                    for _ in range(rng.randint(2, 8))
+                ]
+            )
+    return logs
+
+
+def test_trees_match_the_slow_way(spark):
+    """Every cut and fall-through, on many logs in one run, against traces that are really projected."""
+    logs = [cases for cases, _ in KNOWN] + random_logs(7)
+    rows = [
+        (str(n), f"{n}-{w}", p, a) for n, words in enumerate(logs) for w in set(words) for p, a in enumerate(w)
+    ]
+    events = spark.createDataFrame(rows, "node string, trace string, pos long, activity string")
+    found = tree.grown_trees(events, 2_000_000).collect()
+    below = {}
+    for r in found:
+        below.setdefault(r.node.split(".")[0], []).append(r)
+    for n, words in enumerate(logs):
+        assert text(below[str(n)]) == dense_cuts.as_text(dense_cuts.folded(dense_cuts.mine(words))), words
+    for n, (_, want) in enumerate(KNOWN):
+        assert text(below[str(n)]) == want
+    plan = cuts.ordered_parts(events.select("node", events.activity.alias("x")).distinct(), events.selectExpr("node", "activity a", "activity b"))
+    assert "Python" not in plan._jdf.queryExecution().toString()
+
+
+def split(facts, spark):
+    points = {(k, x, x) for _, a, b in facts for k, x in (("point", a), ("point", b))}
+    df = spark.createDataFrame(sorted({("0", *f) for f in facts} | {("0", *p) for p in points}), "node string, kind string, a string, b string")
+    return cuts.split_nodes(df, lambda nodes: df.limit(0)).collect()
+
+
+def test_chain_with_early_exits_is_split_at_once(spark):
+    """Cases a, ab, abc: one call decides every level of the chain."""
+    facts = [("start", "a", "a"), ("edge", "a", "b"), ("edge", "b", "c")]
+    facts += [("end", x, x) for x in "abc"] + [("once", "a", "a")]
+    rows = {(r.node, r.op, r.activity, r.part, r.leaf, r.optional, r.last) for r in split(facts, spark)}
+    assert rows == {
+        ("0", "sequence", "a", 0, True, False, True),
+        ("0", "sequence", "b", 1, False, True, False),
+        ("0", "sequence", "c", 1, False, True, False),
+        ("0.1.1", "sequence", "b", 0, True, False, True),
+        ("0.1.1", "sequence", "c", 1, True, True, True),
+    }
+
+
+def test_loop_of_the_facts(spark):
     facts = [("edge", "a", "b"), ("edge", "b", "c"), ("edge", "c", "a"), ("start", "a", "a"), ("end", "b", "b")]
-    df = pd.DataFrame([("0", *f) for f in facts], columns=["node", "kind", "a", "b"])
-    got = cuts.split_node(df)
-    assert set(got["op"]) == {"loop"} and dict(zip(got.activity, got.part)) == {"a": 0, "b": 0, "c": 1}
+    rows = split(facts, spark)
+    assert {r.op for r in rows if r.node == "0"} == {"loop"}
+    assert {r.activity: r.part for r in rows if r.node == "0"} == {"a": 0, "b": 0, "c": 1}
+
+
+def test_cuts_of_a_long_chain_and_wide_nodes(spark, monkeypatch):
+    """Tables too large to be held as literal rows."""
+    monkeypatch.setattr("cartrail.functions.lookup.MAX_LOOKUP_ROWS", 100)
+    chain = [f"n{(k * 37) % 120:03d}" for k in range(120)]
+    facts = [("0", "edge", a, b) for a, b in zip(chain, chain[1:])] + [("1", "edge", f"w{k}", f"w{(k + 1) % 40}") for k in range(40)]
+    df = spark.createDataFrame(facts, "node string, kind string, a string, b string")
+    members = df.selectExpr("node", "a x").unionByName(df.selectExpr("node", "b x")).distinct()
+    place = {(r.node, r.x): r.c for r in cuts.ordered_parts(members, cuts.edges(df)).collect()}
+    assert [place["0", x] for x in chain] == list(range(120))
+    assert {place["1", f"w{k}"] for k in range(40)} == {0}
+    linked = df.select("node", "a", "b").unionByName(df.selectExpr("node", "b a", "a b"))
+    assert {r.label for r in cuts.unlinked_groups(members, linked).collect()} == {min(chain), "w0"}
 
 
 def test_sample_keeps_whole_sessions(clicks):
@@ -172,18 +280,3 @@ def test_report(clicks, tmp_path, spark):
     assert document["ecommerce"]["kpis"]["sessions"] == 8
     assert [s["activity"] for s in document["important_steps"]] == ["view", "cart", "purchase"]
     assert document["top_paths"][0]["path"] == "view -> cart -> purchase"
-
-
-def test_chain_with_early_exits_is_split_at_once():
-    """Cases a, ab, abc: one call decides every level of the chain."""
-    facts = [("start", "a", "a"), ("edge", "a", "b"), ("edge", "b", "c")]
-    facts += [("end", x, x) for x in "abc"] + [("once", "a", "a")]
-    got = cuts.split_node(pd.DataFrame([("0", *f) for f in facts], columns=["node", "kind", "a", "b"]))
-    rows = set(got[["node", "op", "activity", "part", "leaf", "optional", "last"]].itertuples(index=False, name=None))
-    assert rows == {
-        ("0", "sequence", "a", 0, True, False, True),
-        ("0", "sequence", "b", 1, False, True, False),
-        ("0", "sequence", "c", 1, False, True, False),
-        ("0.1.1", "sequence", "b", 0, True, False, True),
-        ("0.1.1", "sequence", "c", 1, True, True, True),
-    }

@@ -65,16 +65,16 @@ def test_traces_and_repeats(both):
     same(both, traces.collapsed_log)
 
 
-@pytest.mark.parametrize("limit", [3, 50, 1000])
-def test_variants_with_long_paths(both, limit):
+@pytest.mark.parametrize("stretch", [3, 1000])
+def test_variants_with_long_paths(both, stretch):
     want = {}
     for i, w in enumerate(words()):
         want.setdefault(tuple(collapse(w)), []).append(f"c{i:03d}")
-    got = same(both, lambda log: traces.with_paths(log, traces.variants(log), max_text_steps=limit))
+    got = same(both, lambda log: traces.with_paths(log, traces.variants(log), text_steps=stretch))
     assert sorted((r.steps, r.cases, r.first_case) for r in got) == sorted(
         (len(p), len(c), min(c)) for p, c in want.items()
     )
-    assert {r.path for r in got if r.path} == {" -> ".join(p) for p in want if len(p) <= limit}
+    assert {r.path for r in got} == {" -> ".join(p) for p in want}
     assert {r.variant_id for r in got} == {r.variant_id for r in same(both, traces.variants)}
     for log in both:
         steps = {}
@@ -84,6 +84,23 @@ def test_variants_with_long_paths(both, limit):
         assert set(steps) == {r.variant_id for r in got}
 
 
+@pytest.mark.parametrize("collapsing", [True, False])
+def test_path_tree(both, collapsing):
+    want = {}
+    for i, w in enumerate(words()):
+        steps = collapse(w) if collapsing else list(w)
+        for n in range(1, len(steps) + 1):
+            want.setdefault(tuple(steps[:n]), []).append(f"c{i:03d}")
+    nodes = {r.node: r for r in same(both, traces.path_tree, collapsing)}
+
+    def path(node):
+        return [] if node is None else path(nodes[node].parent) + [nodes[node].activity]
+
+    assert len(nodes) == len(want)
+    for r in (r for r in nodes.values() if r.pos <= 200):
+        assert (r.cases, r.first_case) == (len(want[tuple(path(r.node))]), min(want[tuple(path(r.node))]))
+
+
 def test_examples_and_tails(both):
     same(both, traces.next_activity_pairs, max_len=4)
     same(both, predict.train_ngram, max_len=3)

@@ -185,11 +185,12 @@ def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The facts again, read out of the report's JSON text."""
     log = bindings.shop_log(spark, sf_dir)
     text = durable(report.report_json(log))
-    kinds = {f.name: f.dataType.simpleString() for f in report.insight_context(log).schema}
+    kpis, metrics = (table(log).schema.simpleString() for table in (commerce.kpis, commerce.metrics))
     schema = (
         "struct<sample_size_used:bigint,event_log:array<struct<event_type:string>>,"
-        f"important_steps:{kinds['important_steps']},bottlenecks:{kinds['bottlenecks']},"
-        f"top_paths:{kinds['top_paths']},ecommerce:struct<kpis:{kinds['kpis']},metrics:{kinds['metrics']}>>"
+        "important_steps:array<struct<activity:string,share:double>>,"
+        "bottlenecks:array<struct<activity:string,betweenness:double>>,"
+        f"top_paths:array<struct<path:string,cases:bigint>>,ecommerce:struct<kpis:{kpis},metrics:{metrics}>>"
     )
     parsed = text.select(F.from_json(F.col(text.columns[0]), schema).alias("d"))
     facts = parsed.select(

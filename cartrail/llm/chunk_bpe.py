@@ -2,13 +2,14 @@
 
 A rolling hash over the bytes cuts a text into chunks, at the first white space
 after each place where the hash is low. Equal stretches of different documents
-give equal chunks, wherever they stand; each is encoded once in a task. On a new
-chunk its runs of non-space bytes are looked up among those already encoded.
-
-The tokenizer never merges across white space, so chunks that end there join
-exactly. Where no white space is near, the cut falls inside a run; such a join is
-repaired by encoding the whole run around it again, up to white space on both
-sides, which agrees with the encoding of the whole text.
+give equal chunks, wherever they stand; each is put together once in a task. What
+the tokenizer encodes are the runs of a new chunk, each once in a task, and a
+chunk is the join of its runs.
+
+The default vocabulary never merges across white space or marks, so chunks that end there join
+exactly. Where no white space is near, the cut falls inside a run; such a cut is
+moved to the next white space before anything is encoded. This is exact for
+vocabularies that split so, and not for those that keep spaces in their tokens.
 """
 
 from __future__ import annotations
@@ -161,7 +162,11 @@ def encoded(docs: DataFrame, columns: list[str], path: str | None = None) -> Dat
 
 
 def encoding_report(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and decoded text of every document."""
+    """doc_id, n_tokens and the digests of ids and decoded text of every document.
+
+    A null text is an empty one; repeated rows and null ids stay, in a row each. An empty
+    table gives no rows, and other columns are not read.
+    """
     path = path or vocabulary_path()
     schema = docs.select("doc_id").schema.add("n_tokens", "long")
     schema = schema.add("ids_sha256", "string").add("decoded_sha256", "string")

@@ -231,7 +231,12 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those the model rejects."""
+    """``docs`` without those the model rejects.
+
+    Null and empty texts have statistics too and are scored by them; equal rows
+    stay or go together, and other columns pass as they are. Without labels of both kinds every
+    score is 0.5, so all rows stay. An empty table stays empty.
+    """
     model = train(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

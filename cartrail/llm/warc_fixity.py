@@ -147,7 +147,11 @@ def damaged(html: Column, page_id: Column) -> Column:
 
 
 def audit_pages(pages: DataFrame) -> DataFrame:
-    """The pages as an archive against a replica of it with known damage."""
+    """The pages as an archive against a replica of it with known damage.
+
+    Null urls and texts are empty in a record, a null id is a name like others;
+    equal rows are one record with a number of copies. An empty table gives no rows, and other columns are not read.
+    """
     lost = number_of(F.md5(F.col("page_id").cast("string"))) % 101 == 3
     url, html = F.col("url"), F.col("html")
     rows = pages.select(

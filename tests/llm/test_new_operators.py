@@ -8,12 +8,13 @@ import zlib
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cartrail.llm import fp_tree_search, language_gru, maxscore, reply_trees, spelling_variants
+from cartrail.llm import fp_tree_search, language_gru, maxscore, quality_qda, reply_trees, spelling_variants
 
 MESSAGES = "tree_id bigint, message_id bigint, parent_id bigint, role string, text string, score double"
 CHAT = "conv_id bigint, turn bigint, role string, text string, score string, head string"
@@ -281,3 +282,22 @@ def test_vectors_whose_products_do_not_fit_are_an_error(spark):
     with pytest.raises(Exception, match="component is larger"):
         maxscore.scaled(rows).collect()
     assert [r.vector for r in maxscore.scaled(rows.filter("vec_id = 1")).collect()] == [[256, 512]]
+
+
+def test_class_covariances_are_shrunk_as_written():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 5)) @ rng.normal(size=(5, 5)) + 2
+    of = [rng.random(300) < 0.4]
+    of.insert(0, ~of[0])
+    model = quality_qda.fit(
+        np.array([k.sum() for k in of], dtype=float), np.array([x[k].sum(axis=0) for k in of]), np.array([x[k].T @ x[k] for k in of])
+    )
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    own = [np.cov(z[k].T, bias=True) for k in of]
+    pooled = sum(c * k.mean() for c, k in zip(own, of))
+    for covariance, whiten in zip(own, model.whiten):
+        mixed = (1 - quality_qda.TO_POOLED) * covariance + quality_qda.TO_POOLED * pooled
+        want = (1 - quality_qda.TO_IDENTITY) * mixed + quality_qda.TO_IDENTITY * np.trace(mixed) / 5 * np.eye(5)
+        assert np.linalg.inv(whiten.T @ whiten) == pytest.approx(want)
+    one_class = quality_qda.fit(np.array([3.0, 0.0]), np.zeros((2, 5)), np.zeros((2, 5, 5)))
+    assert one_class is None

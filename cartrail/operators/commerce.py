@@ -137,20 +137,20 @@ def _price_binned(df: DataFrame, log: EventLog) -> DataFrame:
 def price_distribution(log: EventLog, purchases: bool = False) -> DataFrame:
     """Sessions per price bin."""
     rows = _price_binned(_purchases(log) if purchases else log.df, log)
-    low = F.col("price_bin")
-    return (
+    return price_labelled(
         rows.select("price_bin", log.spec.case)
         .distinct()
         .groupBy("price_bin")
         .agg(_sessions(log).alias("session_count"))
-        .select(
-            "price_bin",
-            F.concat(F.lit("$"), low, F.lit("-$"), low + (BIN_SIZE - 1)).alias("price_label"),
-            "session_count",
-        )
     )
 
 
+def price_labelled(counts: DataFrame) -> DataFrame:
+    low = F.col("price_bin")
+    label = F.concat(F.lit("$"), low, F.lit("-$"), low + (BIN_SIZE - 1))
+    return counts.select("price_bin", label.alias("price_label"), "session_count")
+
+
 def price_hour_counts(log: EventLog, purchases: bool = False) -> DataFrame:
     """Sessions per (price bin, hour)."""
     rows = _price_binned(_purchases(log) if purchases else log.df, log)
@@ -164,10 +164,13 @@ def price_hour_counts(log: EventLog, purchases: bool = False) -> DataFrame:
 
 def price_hour_heatmap(log: EventLog, purchases: bool = False) -> DataFrame:
     """The same counts with one column per hour of the day, h00 to h23."""
+    return hours_wide(price_hour_counts(log, purchases))
+
+
+def hours_wide(counts: DataFrame) -> DataFrame:
     hours = list(range(24))
     wide = (
-        price_hour_counts(log, purchases)
-        .groupBy("price_bin")
+        counts.groupBy("price_bin")
         .pivot("hour", hours)
         .agg(F.first("session_count"))
     )
@@ -189,18 +192,18 @@ def price_segment(price: Column) -> Column:
 def hour_price_segments(log: EventLog, purchases: bool = False) -> DataFrame:
     """Sessions per (hour, price segment), with zero rows for empty segments."""
     rows = _purchases(log) if purchases else log.df
-    names = [name for name, _, _ in SEGMENTS]
-    wide = (
-        rows.select(
-            _bigint(F.hour(log.spec.time)).alias("hour"),
-            price_segment(F.col(log.spec.price)).alias("segment"),
-            log.spec.case,
-        )
-        .distinct()
-        .groupBy("hour")
-        .pivot("segment", names)
-        .agg(_sessions(log))
+    cells = rows.select(
+        _bigint(F.hour(log.spec.time)).alias("hour"),
+        price_segment(F.col(log.spec.price)).alias("segment"),
+        F.col(log.spec.case).alias("case_id"),
     )
+    return segments_filled(cells.distinct())
+
+
+def segments_filled(cells: DataFrame) -> DataFrame:
+    """Sessions per (hour, segment) from distinct (hour, segment, case_id)."""
+    names = [name for name, _, _ in SEGMENTS]
+    wide = cells.groupBy("hour").pivot("segment", names).agg(F.count("case_id"))
     filled = wide.select("hour", *[F.coalesce(F.col(f"`{n}`"), F.lit(0)).alias(n) for n in names])
     return filled.unpivot(["hour"], names, "segment", "session_count")
 
@@ -218,9 +221,12 @@ def brand_counts(log: EventLog) -> DataFrame:
 
 def brand_compare(log: EventLog, top: int = TOP_BRANDS) -> DataFrame:
     """Leading brands by sessions with their conversion rate."""
+    return brands_rated(brand_counts(log), top)
+
+
+def brands_rated(counts: DataFrame, top: int = TOP_BRANDS) -> DataFrame:
     return (
-        brand_counts(log)
-        .orderBy(F.col("sessions").desc(), "brand")
+        counts.orderBy(F.col("sessions").desc(), "brand")
         .limit(top)
         .withColumn("conversion_rate", percent(F.col("purchase"), F.col("sessions")))
     )
@@ -249,8 +255,12 @@ def category_counts(log: EventLog) -> DataFrame:
 
 
 def purchase_rate_by_category(log: EventLog, top: int | None = None) -> DataFrame:
+    return purchase_rates(category_counts(log), top)
+
+
+def purchase_rates(counts: DataFrame, top: int | None = None) -> DataFrame:
     total, bought = F.col("total_sessions"), F.col("purchase_sessions")
-    rates = category_counts(log).select(
+    rates = counts.select(
         "category",
         "total_sessions",
         "purchase_sessions",
@@ -269,16 +279,16 @@ def abandonment(cart: Column, bought: Column) -> Column:
 
 def cart_abandonment(log: EventLog, top: int | None = None) -> DataFrame:
     """Share of cart sessions without purchase, over categories that have either."""
+    return abandonment_rates(category_counts(log), top)
+
+
+def abandonment_rates(counts: DataFrame, top: int | None = None) -> DataFrame:
     cart, bought = F.col("cart_sessions"), F.col("purchase_sessions")
-    rates = (
-        category_counts(log)
-        .filter("in_funnel")
-        .select(
-            "category",
-            "cart_sessions",
-            "purchase_sessions",
-            abandonment(cart, bought).alias("abandonment_rate"),
-        )
+    rates = counts.filter("in_funnel").select(
+        "category",
+        "cart_sessions",
+        "purchase_sessions",
+        abandonment(cart, bought).alias("abandonment_rate"),
     )
     if top is None:
         return rates
@@ -322,20 +332,25 @@ def window_shopper_by_category(log: EventLog, top: int = TOP_CATEGORIES) -> Data
     """
     s = log.spec
     named = log.df.withColumn(s.category, F.coalesce(s.category, F.lit(UNKNOWN)))
-    pairs = named.groupBy(s.category, s.case).agg(
+    pairs = named.groupBy(F.col(s.category).alias("category"), F.col(s.case).alias("case_id")).agg(
         _only_view(log).alias("only_view"),
         F.max(F.coalesce(log.is_activity(s.view), F.lit(False))).alias("has_view"),
     )
+    return window_rates(pairs, top)
+
+
+def window_rates(pairs: DataFrame, top: int = TOP_CATEGORIES) -> DataFrame:
+    """The table above from (category, case_id) with ``only_view`` and ``has_view``."""
     # Null sessions form no session; they only keep their category in the list.
-    unnamed = pairs.filter(F.col(s.case).isNull()).withColumn("window", F.lit(False))
-    marked = pairs.filter(F.col(s.case).isNotNull()).withColumn(
-        "window", F.every("only_view").over(Window.partitionBy(s.case))
+    unnamed = pairs.filter(F.col("case_id").isNull()).withColumn("window", F.lit(False))
+    marked = pairs.filter(F.col("case_id").isNotNull()).withColumn(
+        "window", F.every("only_view").over(Window.partitionBy("case_id"))
     )
     return (
         marked.unionByName(unnamed)
         .filter("has_view")
-        .groupBy(F.col(s.category).alias("category"))
-        .agg(_sessions(log).alias("view_sessions"), F.count_if("window").alias("window_sessions"))
+        .groupBy("category")
+        .agg(F.count("case_id").alias("view_sessions"), F.count_if("window").alias("window_sessions"))
         .withColumn("window_rate", percent(F.col("window_sessions"), F.col("view_sessions")))
         .orderBy(F.col("window_rate").desc(), "category")
         .limit(top)
@@ -350,6 +365,11 @@ def user_loyalty(log: EventLog) -> DataFrame:
         .groupBy(s.user)
         .agg(F.count_distinct(s.case).alias("n"))
     )
+    return loyalty_rates(users)
+
+
+def loyalty_rates(users: DataFrame) -> DataFrame:
+    """Both shares from one row per user with its number of sessions, ``n``."""
 
     def over(n: int) -> Column:
         return percent(F.count_if(F.col("n") > n), F.count(F.lit(1)))
@@ -381,7 +401,10 @@ def daily_returning(log: EventLog) -> DataFrame:
     A user's first session is a plain minimum, so no user's sessions need to be
     ranked: sessions per date less first sessions per date.
     """
-    starts = session_starts(log)
+    return returning_rates(session_starts(log))
+
+
+def returning_rates(starts: DataFrame) -> DataFrame:
     per_date = starts.groupBy("user_id", F.to_date("start").alias("date")).agg(
         F.count(F.lit(1)).alias("n"), F.min("start").alias("start")
     )
@@ -427,18 +450,37 @@ def remove_purchase_rate(log: EventLog) -> DataFrame:
     )
 
 
-def metrics(log: EventLog) -> DataFrame:
-    """The six summary rates in one row, from three passes: by category, session and user."""
-    s = log.spec
-    zero, time = F.lit(0.0), F.col(s.time)
+def category_averages(counts: DataFrame) -> DataFrame:
+    """Unweighted means of the purchase and abandonment rates over categories."""
+    zero = F.lit(0.0)
     total, bought, cart = (F.col(c) for c in ("total_sessions", "purchase_sessions", "cart_sessions"))
-    by_category = category_counts(log).agg(
+    return counts.agg(
         F.coalesce(F.avg(percent(bought, total)), zero).alias("purchase_rate_avg"),
         F.coalesce(
             F.avg(F.when(F.col("in_funnel"), abandonment(cart, bought))), zero
         ).alias("abandonment_rate_avg"),
     )
-    by_session = (
+
+
+def session_rates(sessions: DataFrame) -> DataFrame:
+    """Rates over one row per session; the row of no session (not ``known``) only adds its removals."""
+    removed = F.col("known") & (F.col("first_purchase") > F.col("first_remove"))
+    removals = F.coalesce(F.sum("removals"), F.lit(0))
+    return sessions.agg(
+        percent(
+            F.count_if(F.col("known") & F.col("only_view")),
+            F.greatest(F.lit(1), F.count_if("known")),
+        ).alias("window_shopper_rate"),
+        percent(F.count_if(removed), F.greatest(F.lit(1), removals)).alias("remove_cart_purchase_rate"),
+    )
+
+
+def metrics(log: EventLog) -> DataFrame:
+    """The six summary rates in one row, from three passes: by category, session and user."""
+    s = log.spec
+    time = F.col(s.time)
+    by_category = category_averages(category_counts(log))
+    by_session = session_rates(
         log.df.groupBy(s.case)
         .agg(
             _only_view(log).alias("only_view"),
@@ -448,15 +490,6 @@ def metrics(log: EventLog) -> DataFrame:
         )
         .withColumn("known", F.col(s.case).isNotNull())
     )
-    removed = F.col("known") & (F.col("first_purchase") > F.col("first_remove"))
-    removals = F.coalesce(F.sum("removals"), F.lit(0))
-    by_session = by_session.agg(
-        percent(
-            F.count_if(F.col("known") & F.col("only_view")),
-            F.greatest(F.lit(1), F.count_if("known")),
-        ).alias("window_shopper_rate"),
-        percent(F.count_if(removed), F.greatest(F.lit(1), removals)).alias("remove_cart_purchase_rate"),
-    )
     parts = {"category": by_category, "session": by_session, "user": user_loyalty(log)}
     one = log.df.sparkSession.range(1).select(
         *[df.select(F.struct(*df.columns)).scalar().alias(name) for name, df in parts.items()]

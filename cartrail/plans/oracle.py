@@ -619,3 +619,65 @@ ORACLE["classifier_suggestions"] = _sql(
     """SELECT user_session AS seq_id, 3::INTEGER AS suggestions, 3::INTEGER AS activities, true AS in_order
 FROM log WHERE event_id % 7 <> 0 GROUP BY user_session""",
 )
+
+
+def _long(table: str, query: str, keys: tuple[str, ...] = ()) -> str:
+    key = " || ".join(["''", *[f"'/' || {k}::VARCHAR" for k in keys]])
+    left_out = f"* EXCLUDE ({', '.join(keys)})" if keys else "*"
+    return f"""
+SELECT '{table}' AS "table", key, name AS measure, round(value, 6) AS value FROM (
+  UNPIVOT (SELECT {key} AS key, COLUMNS({left_out})::DOUBLE FROM ({ORACLE[query]}))
+  ON COLUMNS(* EXCLUDE (key)) INTO NAME name VALUE value)"""
+
+
+ORACLE["dashboard_facts"] = "\nUNION ALL".join(
+    [
+        _long("kpis", "kpis"),
+        _long("metrics", "metrics"),
+        _long("brand_compare", "brand_compare", ("brand",)),
+        _long("purchase_rate", "purchase_rate_top20", ("category",)),
+        _long("abandonment_rate", "cart_abandonment_top20", ("category",)),
+        _long("window_shopper", "window_shopper_by_category", ("category",)),
+        _long("loyal_returning", "daily_returning", ("date",)),
+        _long("remove_purchase", "remove_purchase_daily", ("date",)),
+        *[
+            _long(f"{who}_{name}", f"{who}_{name}", keys)
+            for who in ("session", "purchase")
+            for name, keys in (
+                ("price_dist", ("price_label",)),
+                ("heatmap", ("price_bin",)),
+                ("hour_price", ("hour", "segment")),
+            )
+        ],
+    ]
+)
+
+# Exact counts: the sketches are exact while a week has fewer values than one holds.
+ORACLE["kpis_sketched"] = _sql(
+    SHOP,
+    f"""SELECT CAST(date_trunc('week', event_time) AS DATE) AS week, count(*) AS rows,
+       count(DISTINCT user_session) AS sessions, count(DISTINCT user_id) AS users,
+       count(DISTINCT user_session) FILTER (WHERE {BUYS}) AS purchase_sessions,
+       count(DISTINCT product_id) AS products, count(DISTINCT category_code) AS categories,
+       count(DISTINCT brand) AS brands, count(DISTINCT event_type) AS event_types FROM log GROUP BY 1""",
+)
+
+# Names here have single spaces, so a line ends at the last one that fits, or in the middle of a word
+# that no line can hold.
+ORACLE["wrapped_labels"] = f"""
+WITH RECURSIVE {PATHS},
+names AS (
+  SELECT DISTINCT 'activity' AS kind, event_type AS name, 15 AS width FROM log
+  UNION SELECT 'brand', brand, 15 FROM log
+  UNION SELECT 'category', category_code, 15 FROM log
+  UNION SELECT 'path', path, 40 FROM paths),
+folded AS (
+  SELECT kind, name, width, name AS rest, CAST('' AS VARCHAR) AS label FROM names
+  UNION ALL
+  SELECT kind, name, width, ltrim(substr(rest, taken + 1)), label || chr(10) || rtrim(left(rest, taken)) FROM (
+    SELECT *, CASE WHEN length(rest) <= width THEN length(rest)
+                   WHEN length(regexp_extract(substr(rest, head + 1), '^[^ ]*')) > width THEN width
+                   ELSE head END AS taken
+    FROM (SELECT *, length(regexp_extract(left(rest, width + 1), '^(.* )?', 0)) AS head
+          FROM folded WHERE rest <> '')))
+SELECT kind, name, substr(label, 2) AS label FROM folded WHERE rest = ''"""

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartrail.functions.durable import durable
+from cartrail.functions.labels import LABEL_WIDTH, PATH_WIDTH, wrapped
 from cartrail.functions.lookup import settled
-from cartrail.operators import commerce, discovery, graph, predict, sampling, traces, tree
-from cartrail.plans import report
+from cartrail.operators import commerce, discovery, graph, predict, sampling, sketches, traces, tree
+from cartrail.plans import dashboards, report
 from cartrail.sources import bindings, event_log, results
 from cartrail.spec import EventLog
 
@@ -227,6 +228,67 @@ def _metrics(log: EventLog) -> DataFrame:
     return rates.select(*[F.round(c, 6).alias(c) for c in rates.columns])
 
 
+def dashboard_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All shop tables of the report from one pass, one number per row: table, key, measure and value."""
+    tables = dashboards.dashboard_tables(dashboards.stored_facts(bindings.shop_log(spark, sf_dir)))
+    keys = {
+        "brand_compare": ["brand"],
+        "purchase_rate": ["category"],
+        "abandonment_rate": ["category"],
+        "window_shopper": ["category"],
+        "loyal_returning": ["date"],
+        "remove_purchase": ["date"],
+        "session_price_dist": ["price_label"],
+        "purchase_price_dist": ["price_label"],
+        "session_heatmap": ["price_bin"],
+        "purchase_heatmap": ["price_bin"],
+        "session_hour_price": ["hour", "segment"],
+        "purchase_hour_price": ["hour", "segment"],
+    }
+    whole = None
+    for name, rows in tables.items():
+        key = F.concat_ws("/", F.lit(""), *[F.col(k).cast("string") for k in keys.get(name, [])])
+        measures = [c for c in rows.columns if c not in keys.get(name, [])]
+        long = rows.select(
+            F.lit(name).alias("table"), key.alias("key"), *[F.col(c).cast("double").alias(c) for c in measures]
+        ).unpivot(["table", "key"], measures, "measure", "value")
+        whole = long if whole is None else whole.unionByName(long)
+    return _rounded(whole)
+
+
+def kpis_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KPIs of every week, from the sketches of its days."""
+    days = sketches.daily_sketches(bindings.shop_log(spark, sf_dir))
+    week = F.trunc("day", "week").alias("week")
+    return sketches.estimates(sketches.merged(days, week))
+
+
+def wrapped_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of all activities, brands, categories and collapsed paths, in lines as charts show them."""
+    log = bindings.shop_log(spark, sf_dir)
+    s = log.spec
+    named = log.df.select(
+        F.explode(
+            F.array(
+                *[
+                    F.struct(F.lit(kind).alias("kind"), F.col(c).alias("name"), F.lit(LABEL_WIDTH).alias("width"))
+                    for kind, c in (("activity", s.activity), ("brand", s.brand), ("category", s.category))
+                ]
+            )
+        ).alias("x")
+    ).select("x.*").distinct()
+    paths = _variants(bindings.session_log(spark, sf_dir), collapse=True).select(
+        F.lit("path").alias("kind"), F.col("path").alias("name"), F.lit(PATH_WIDTH).alias("width")
+    )
+    return named.unionByName(paths).select(
+        "kind",
+        "name",
+        F.when(F.col("width") == LABEL_WIDTH, wrapped(F.col("name"), LABEL_WIDTH))
+        .otherwise(wrapped(F.col("name"), PATH_WIDTH))
+        .alias("label"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     # sources and sinks
     "log_csv_scan": log_csv_scan,
@@ -301,6 +363,9 @@ QUERIES: dict[str, Query] = {
     "mlp_next_activity": _session(predict.classifier_accuracy),
     # report
     "insight_context": insight_context,
+    "dashboard_facts": dashboard_facts,
+    "kpis_sketched": kpis_sketched,
+    "wrapped_labels": wrapped_labels,
     "report_json": report_json,
 }
 

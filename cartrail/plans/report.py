@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cartrail.functions.lookup import settled
 from cartrail.operators import commerce, discovery, graph, predict, sampling, traces, tree
+from cartrail.plans import dashboards
 from cartrail.sources.results import to_json_rows
 from cartrail.spec import EventLog
 
@@ -72,30 +73,21 @@ def insight_rows(context: DataFrame) -> DataFrame:
     )
 
 
-def report_tables(log: EventLog) -> dict[str, DataFrame]:
-    """Every table of the analysis by name."""
+def report_tables(log: EventLog, facts_folder: str | None = None) -> dict[str, DataFrame]:
+    """Every table of the analysis by name.
+
+    The shop tables come from facts stored in one pass over the log, in
+    ``facts_folder`` or else the shared folder.
+    """
     edges = graph.activity_graph(log)
-    return {
+    shop = dashboards.dashboard_tables(dashboards.stored_facts(log, facts_folder))
+    return shop | {
         "graph": edges.drop("first"),
         "activity_share": traces.activity_share(log),
         "bottlenecks": graph.bottlenecks(edges),
         "top_paths": traces.top_paths(log),
         "petri": discovery.petri_arcs(log),
         "bpmn": tree.bpmn_flows(log),
-        "kpis": commerce.kpis(log),
-        "metrics": commerce.metrics(log),
-        "session_price_dist": commerce.price_distribution(log),
-        "purchase_price_dist": commerce.price_distribution(log, purchases=True),
-        "session_heatmap": commerce.price_hour_heatmap(log),
-        "purchase_heatmap": commerce.price_hour_heatmap(log, purchases=True),
-        "session_hour_price": commerce.hour_price_segments(log),
-        "purchase_hour_price": commerce.hour_price_segments(log, purchases=True),
-        "brand_compare": commerce.brand_compare(log),
-        "purchase_rate": commerce.purchase_rate_by_category(log, commerce.TOP_CATEGORIES),
-        "abandonment_rate": commerce.cart_abandonment(log, commerce.TOP_CATEGORIES),
-        "window_shopper": commerce.window_shopper_by_category(log),
-        "loyal_returning": commerce.daily_returning(log),
-        "remove_purchase": commerce.remove_purchase_daily(log),
         "next_activity_model": predict.train_ngram(log),
     }
 
@@ -122,13 +114,14 @@ def run_report(log: EventLog, folder: str) -> list[str]:
     """Write the typed log, every table and the JSON document below ``folder``.
 
     The log is written first and read back, so that the tables read only their
-    columns of it instead of parsing the source again.
+    columns of it instead of parsing the source again. ``facts`` holds what the
+    shop tables are counted from.
     """
     spark = log.df.sparkSession
     log.df.write.mode("overwrite").parquet(f"{folder}/log")
     stored = replace(log, df=spark.read.parquet(f"{folder}/log"), _hot={})
     written = []
-    for name, table in report_tables(stored).items():
+    for name, table in report_tables(stored, f"{folder}/facts").items():
         table.write.mode("overwrite").parquet(f"{folder}/{name}")
         written.append(name)
     report_json(stored).write.mode("overwrite").text(f"{folder}/report")

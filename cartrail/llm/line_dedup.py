@@ -1,19 +1,27 @@
-"""Repeated passages, found by hashing lines and the sentences in them.
-
-A line is one unit and so is each sentence of it, because a passage that was
-pasted into the middle of a line leaves no whole line in common. Units are
-normalised (lower case, single spaces), hashed to 128 bits and grouped over the
-whole corpus. The occurrence with the smallest (doc_id, text digest, offset)
-stays, all others are removed; offsets are code points of the original text.
-
-Units of fewer than ``MIN_WORDS`` words are never removed alone: short
-sentences coincide by chance. They go with a repeated line around them.
+"""Repeated passages, found by hashing sentences and runs of short ones.
+
+Lines are cut into sentences, because a passage that was pasted into the middle
+of a line leaves no whole line in common, and sentences of ``LONG_WORDS`` words
+or more, which may hold a passage without end marks, into pieces: a cut comes
+after each word whose digest says so, so equal passages are cut equally
+wherever they stand. What has ``MIN_WORDS`` words is a unit. A shorter sentence or
+piece is none, as it may coincide by chance, but the runs are that it begins and ends:
+as few neighbours as have ``MIN_WORDS`` words together, over line ends too. A
+repeated passage of short lines is covered by its repeated runs.
+
+Units are normalised (lower case, single spaces), hashed to 128 bits and grouped
+over the whole corpus. The occurrence with the smallest (doc_id, text digest,
+offset) stays, all others are removed; offsets are code points of the original
+text. Where an occurrence overlaps the one that stays, what lies behind that goes.
+Words are what stands between white space; a text without any has no unit.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -23,8 +31,11 @@ from pyspark.sql import functions as F
 from cartrail.llm.common import HEAVY_KEYS, keyed, numbered, small_batches, stored, text_key
 
 MIN_WORDS = 8
+LONG_WORDS = 32
 # A sentence with its end marks; the sentences of a line cover all of it.
-SENTENCE = r"[^.!?]+[.!?]*|[.!?]+"
+SENTENCE = re.compile(r"[^.!?]+[.!?]*|[.!?]+")
+# A word with the space before it, the last one also with that behind it.
+WORD = re.compile(r"\s*\S+(?:\s+\Z)?")
 
 UNIT_SCHEMA = "_doc long, _th long, start int, n_chars int, d1 long, d2 long"
 _ARROW = pa.schema(
@@ -33,27 +44,65 @@ _ARROW = pa.schema(
 )
 
 
-def text_units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, str]]:
-    """(start, length, normalised text) of each unit with enough words.
+@lru_cache(100_000)
+def ends_piece(word: str) -> bool:
+    """Whether a cut comes after ``word``: for one in eight."""
+    return hashlib.md5(word.encode("utf-8", "surrogatepass")).digest()[0] < 32
 
-    A line is left out where its sentences are units that cover it anyway.
-    """
-    sentence = re.compile(SENTENCE)
-    start = 0
+
+def pieces(text: str) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, words) of sentences and of the pieces of long ones, if they hold a word."""
+    at = 0
     for line in text.split("\n"):
-        words = line.lower().split()
-        if len(words) >= min_words:
-            pieces = [(m.start(), m.end()) for m in sentence.finditer(line)]
-            covered = True
-            for a, b in pieces:
-                unit = line[a:b].lower().split()
-                if len(unit) >= min_words:
-                    yield start + a, b - a, " ".join(unit)
-                elif unit:
-                    covered = False
-            if not covered:
-                yield start, len(line), " ".join(words)
-        start += len(line) + 1
+        for sentence in SENTENCE.finditer(line):
+            words = sentence.group().lower().split()
+            start = at + sentence.start()
+            if len(words) < LONG_WORDS:
+                if words:
+                    yield start, at + sentence.end(), words
+                continue
+            held: list[str] = []
+            begun = start
+            for token, word in zip(WORD.finditer(sentence.group()), words):
+                held.append(word)
+                if ends_piece(word):
+                    yield begun, start + token.end(), held
+                    held, begun = [], start + token.end()
+            if held:
+                yield begun, at + sentence.end(), held
+        at += len(line) + 1
+
+
+def text_units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, str]]:
+    """(start, length, normalised text) of each unit; runs of short pieces are read off a sliding stretch."""
+    run: list[tuple[int, int, list[str]]] = []  # the last pieces, no more than reach ``min_words``
+    held = 0
+    begins: list[tuple[int, int, list[str]]] = []  # the same for the earliest short piece that still waits
+    waiting = 0
+    for piece in pieces(text):
+        size = len(piece[2])
+        run.append(piece)
+        held += size
+        while held - len(run[0][2]) >= min_words:
+            held -= len(run.pop(0)[2])
+        if size >= min_words:
+            yield piece[0], piece[1] - piece[0], " ".join(piece[2])
+        if begins or size < min_words:
+            begins.append(piece)
+            waiting += size
+        last = None
+        while begins and waiting >= min_words:
+            if len(begins[0][2]) < min_words:
+                last = begins[0][0]
+                yield _unit(begins)
+            waiting -= len(begins.pop(0)[2])
+        # The run that ends here, unless it has just been given as one that begins.
+        if size < min_words and held >= min_words and run[0][0] != last:
+            yield _unit(run)
+
+
+def _unit(run: list[tuple[int, int, list[str]]]) -> tuple[int, int, str]:
+    return run[0][0], run[-1][1] - run[0][0], " ".join(" ".join(words) for _, _, words in run)
 
 
 def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -89,7 +138,11 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     doc_id ranks after all others.
     """
     rank = F.struct(
-        F.col("_doc").isNull().alias("none"), F.col("_doc").alias("doc"), F.col("_th").alias("th"), F.col("start").alias("at")
+        F.col("_doc").isNull().alias("none"),
+        F.col("_doc").alias("doc"),
+        F.col("_th").alias("th"),
+        F.col("start").alias("at"),
+        F.col("n_chars").alias("size"),
     )
     groups = stored(
         units(docs, min_words)
@@ -111,21 +164,20 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .withColumn("kept", F.coalesce("often", "kept"))
         .filter(F.col("kept").isNotNull())
     )
-    own = (
-        F.col("_doc").eqNullSafe(F.col("kept.doc"))
-        & (F.col("_th") == F.col("kept.th"))
-        & (F.col("start") == F.col("kept.at"))
-    )
+    own = F.col("_doc").eqNullSafe(F.col("kept.doc")) & (F.col("_th") == F.col("kept.th"))
+    end, kept_end = F.col("start") + F.col("n_chars"), F.col("kept.at") + F.col("kept.size")
+    first = F.when(own, F.greatest("start", kept_end)).otherwise(F.col("start"))
     return (
-        hits.filter(~own)
+        hits.filter(~own | (F.col("start") != F.col("kept.at")))
         .select(
             F.col("_doc").alias("doc_id"),
             "_th",
-            "start",
-            "n_chars",
+            first.alias("start"),
+            (end - first).alias("n_chars"),
             F.col("kept.doc").alias("kept_doc_id"),
             F.col("kept.at").alias("kept_start"),
         )
+        .filter("n_chars > 0")
         .distinct()
     )
 

@@ -114,32 +114,60 @@ with split as (
 placed as (
   select doc_id, k, line,
          coalesce(sum(length(line) + 1) over (partition by doc_id order by k
-                  rows between unbounded preceding and 1 preceding), 0) as pos,
-         lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) as unit
+                  rows between unbounded preceding and 1 preceding), 0) as pos
   from split),
-lines as (select * from placed where len(string_split(unit, ' ')) >= 8),
 pieces as (
   select doc_id, k, pos, unnest(regexp_extract_all(line, '[^.!?]+[.!?]*|[.!?]+')) as piece,
          generate_subscripts(regexp_extract_all(line, '[^.!?]+[.!?]*|[.!?]+'), 1) as p
-  from lines),
+  from placed),
 cut as (
-  select doc_id, k, length(piece) as n_chars,
+  select doc_id, piece,
          pos + coalesce(sum(length(piece)) over (partition by doc_id, k order by p
               rows between unbounded preceding and 1 preceding), 0) as start,
          lower(trim(regexp_replace(piece, '\s+', ' ', 'g'))) as unit
   from pieces),
-sized as (select *, case when unit = '' then 0 else len(string_split(unit, ' ')) end as words from cut),
+sentences as (select *, len(string_split(unit, ' ')) as words from cut where unit <> ''),
+tokens as (
+  select doc_id, start, unnest(regexp_extract_all(piece, '\s*\S+(?:\s+$)?')) as token,
+         generate_subscripts(regexp_extract_all(piece, '\s*\S+(?:\s+$)?'), 1) as t
+  from sentences where words >= 32),
+normal as (select *, lower(regexp_replace(token, '\s+', '', 'g')) as word from tokens),
+dealt as (
+  select *, coalesce(sum(case when md5(word)[1] in ('0', '1') then 1 else 0 end) over (partition by doc_id, start
+         order by t rows between unbounded preceding and 1 preceding), 0) as part from normal),
+parts as (
+  select doc_id, start, part, sum(length(token)) as n_chars, string_agg(word, ' ' order by t) as unit,
+         count(*) as words from dealt group by all),
+base as (
+  select *, row_number() over w as nth, sum(words) over w as upto from (
+    select doc_id, start, length(piece) as n_chars, unit, words from sentences where words < 32
+    union all
+    select doc_id, start + coalesce(sum(n_chars) over (partition by doc_id, start order by part
+           rows between unbounded preceding and 1 preceding), 0), n_chars, unit, words from parts)
+  window w as (partition by doc_id order by start)),
+runs as (
+  select a.doc_id, a.nth as low, min(b.nth) as high from base a join base b
+  on a.doc_id = b.doc_id and b.nth between a.nth and a.nth + 7 and b.upto - a.upto + a.words >= 8
+  where a.words < 8 group by all
+  union
+  select a.doc_id, max(b.nth), a.nth from base a join base b
+  on a.doc_id = b.doc_id and b.nth between a.nth - 7 and a.nth and a.upto - b.upto + b.words >= 8
+  where a.words < 8 group by all),
 units as (
-  select doc_id, start, n_chars, unit from sized where words >= 8
+  select doc_id, start, n_chars, unit from base where words >= 8
   union all
-  select doc_id, pos, length(line), unit from lines
-  where exists (select 1 from sized where sized.doc_id = lines.doc_id and sized.k = lines.k
-                and words between 1 and 7)),
+  select r.doc_id, min(start), max(start + n_chars) - min(start), string_agg(unit, ' ' order by nth)
+  from runs r join base b on r.doc_id = b.doc_id and b.nth between low and high group by r.doc_id, low, high),
 ranked as (
-  select *, first_value(doc_id) over w as kept_doc_id, first_value(start) over w as kept_start
-  from units window w as (partition by unit order by doc_id, start))
-select doc_id, start::int as start, n_chars::int as n_chars, kept_doc_id, kept_start::int as kept_start
-from ranked where doc_id <> kept_doc_id or start <> kept_start
+  select *, first_value(doc_id) over w as kept_doc_id, first_value(start) over w as kept_start,
+         first_value(start + n_chars) over w as kept_end
+  from units window w as (partition by unit order by doc_id, start)),
+clipped as (
+  select *, case when doc_id = kept_doc_id then greatest(start, kept_end) else start end as first
+  from ranked where doc_id <> kept_doc_id or start <> kept_start)
+select distinct doc_id, first::int as start, (start + n_chars - first)::int as n_chars, kept_doc_id,
+       kept_start::int as kept_start
+from clipped where start + n_chars > first
 """
 
 _TOP = """

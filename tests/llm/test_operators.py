@@ -137,17 +137,74 @@ def test_shards_keep_groups_and_number_gaplessly(spark, small, odd):
 # --- repeated passages ------------------------------------------------------
 
 
+def brute_units(text):
+    """(start, length, text) of units by index arithmetic over the list of pieces."""
+    base, at = [], 0
+    for line in text.split("\n"):
+        for m in re.finditer(r"[^.!?]+[.!?]*|[.!?]+", line):
+            words = [(w.start(), w.end(), w.group().lower()) for w in re.finditer(r"\S+", m.group())]
+            cuts = [k + 1 for k, w in enumerate(words) if hashlib.md5(w[2].encode()).hexdigest()[0] in "01"]
+            cuts = [0, *[c for c in cuts if c < len(words)], len(words)] if len(words) >= 32 else [0, len(words)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b:
+                    low = words[a - 1][1] if a else 0
+                    high = words[b - 1][1] if b < len(words) else len(m.group())
+                    base.append((at + m.start() + low, at + m.start() + high, [w[2] for w in words[a:b]]))
+        at += len(line) + 1
+    sizes = [len(w) for _, _, w in base]
+    spans = {(k, k) for k, n in enumerate(sizes) if n >= 8}
+    for k, n in enumerate(sizes):
+        if n < 8:
+            spans |= {(k, j) for j in range(k, len(base)) if sum(sizes[k : j + 1]) >= 8 > sum(sizes[k:j])}
+            spans |= {(j, k) for j in range(k + 1) if sum(sizes[j : k + 1]) >= 8 > sum(sizes[j + 1 : k + 1])}
+    return sorted(
+        (base[a][0], base[b][1] - base[a][0], " ".join(w for _, _, ws in base[a : b + 1] for w in ws)) for a, b in spans
+    )
+
+
 def brute_repeats(docs):
-    seen, found = {}, []
+    seen, found = {}, set()
     for doc, text in sorted(set(docs), key=lambda d: d[0]):
-        for start, size, unit in sorted(line_dedup.text_units(text or "")):
-            if unit in seen:
-                found.append((doc, start, size, *seen[unit]))
-            else:
-                seen[unit] = (doc, start)
+        for start, size, unit in brute_units(text or ""):
+            if unit not in seen:
+                seen[unit] = (doc, start, size)
+                continue
+            kept, at, length = seen[unit]
+            first = max(start, at + length) if kept == doc else start
+            if start + size > first:
+                found.add((doc, first, start + size - first, kept, at))
     return sorted(found)
 
 
+@given(st.lists(st.sampled_from(["a", "bb ", "c. ", "dd! ", "\n", " e", " ff ", "gh ij kl mn. ", "x y z " * 14]), max_size=40))
+@settings(max_examples=150, deadline=None)
+def test_units_match_index_arithmetic(parts):
+    text = "".join(parts)
+    assert sorted(line_dedup.text_units(text)) == brute_units(text)
+
+
+@pytest.mark.parametrize("end, words", [("\n", 4), (". ", 5), (" ", 4)], ids=["lines", "sentences", "no ends"])
+def test_passages_of_short_units_go_but_for_one(spark, end, words):
+    passage = end.join(" ".join(f"w{k}x{j}" for j in range(words)) for k in range(30))
+    docs = spark.createDataFrame(
+        [(1, f"Before one {passage} after one"), (2, f"Quite another start {passage} and end")],
+        "doc_id long, text string",
+    )
+    kept = {r.doc_id: r.text for r in line_dedup.without_repeats(docs).collect()}
+    assert kept[1] == f"Before one {passage} after one"
+    # What stays stands with other words in one piece: the outermost units, or all outside the outermost cuts.
+    said = re.findall(r"w\d+x\d+", passage)
+    cuts = [k for k, w in enumerate(said) if hashlib.md5(w.encode()).hexdigest()[0] in "01"]
+    head, tail = (words, len(said) - words) if end != " " else (cuts[0] + 1, cuts[-1] + 1)
+    assert re.findall(r"w\d+x\d+", kept[2]) == said[:head] + said[tail:]
+    assert "Quite another start" in kept[2] and "and end" in kept[2]
+
+
+def test_a_run_that_repeats_itself_keeps_its_first_part(spark):
+    docs = spark.createDataFrame([(1, "la la la.\n" * 20)], "doc_id long, text string")
+    assert line_dedup.without_repeats(docs).first().text.split() == ["la", "la", "la."] * 3
+
+
 def test_repeats_match_brute_force(small):
     docs = [(r.doc_id, r.text) for r in small["documents"].collect()]
     got = sorted(tuple(r) for r in line_dedup.repeated_units(small["documents"]).drop("_th").collect())

@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Container, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,17 +53,25 @@ NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 
 @dataclass
 class Block:
-    """A leaf block: its text, the characters of it in links, and its ancestors."""
+    """A leaf block: its text, the characters of it in links, its tag and the features of its ancestors."""
 
     text: str
     linked: int
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    leaf: str
+    above: frozenset[str]
 
 
-def leaf_blocks(page: str) -> list[Block]:
-    """Blocks with text, in page order; broken and unclosed markup is read as far as it goes."""
+def leaf_blocks(page: str, known: Container[str] | None = None) -> list[Block]:
+    """Blocks with text, in page order; broken and unclosed markup is read as far as it goes.
+
+    Elements that add no feature to those above them share one set, and with
+    ``known`` only the features in it are kept, so a page takes memory in
+    proportion to its length, however deep it is.
+    """
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, frozenset[str]]] = []
+    opened: Counter[str] = Counter()
+    none: frozenset[str] = frozenset()
     held: list[tuple[str, bool]] = []
     in_link = False
 
@@ -72,13 +81,17 @@ def leaf_blocks(page: str) -> list[Block]:
             text = " ".join(entities.unescape("".join(t for t, _ in held)).split())
             if text:
                 linked = sum(len(t) for t, link in held if link)
-                blocks.append(Block(text, linked, tuple(stack)))
+                leaf, above = stack[-1] if stack else ("none", none)
+                blocks.append(Block(text, linked, leaf, above))
             held.clear()
         in_link = False
 
     def close(name: str, within: frozenset[str] = frozenset()) -> None:
+        if not opened[name]:
+            return
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] == name:
+                opened.subtract(tag for tag, _ in stack[k:])
                 del stack[k:]
                 return
             if stack[k][0] in within:
@@ -105,22 +118,22 @@ def leaf_blocks(page: str) -> list[Block]:
             elif name == "li":
                 close("li", frozenset(("ul", "ol")))
             if name not in VOID and not attributes.endswith("/"):
-                words: tuple[str, ...] = ()
+                own = {"in " + name}
                 if "=" in attributes:
                     found = " ".join("".join(m) for m in NAMED.findall(attributes))
-                    words = tuple(w for w in re.split(r"[^a-z]+", found.lower()) if w)
-                stack.append((name, words))
+                    own.update("named " + w for w in re.split(r"[^a-z]+", found.lower()) if w)
+                if known is not None:
+                    own = {feature for feature in own if feature in known}
+                above = stack[-1][1] if stack else none
+                stack.append((name, above if own <= above else above | own))
+                opened[name] += 1
     flush()
     return blocks
 
 
 def features(block: Block, at: int, count: int) -> list[str]:
     """Names of the features that hold for a block."""
-    out = {"any"}
-    for tag, words in block.path:
-        out.add("in " + tag)
-        out.update("named " + w for w in words)
-    out.add("leaf " + (block.path[-1][0] if block.path else "none"))
+    out = {"any", "leaf " + block.leaf, *block.above}
     size = len(block.text)
     out.add(f"size {min(9, size.bit_length())}")
     share = block.linked / max(1, size)
@@ -171,7 +184,7 @@ class Chain:
         return labels[::-1]
 
     def main_text(self, page: str | None) -> str:
-        blocks = leaf_blocks(page or "")
+        blocks = leaf_blocks(page or "", self.names)
         return "\n".join(
             b.text for b, label in zip(blocks, self.viterbi(self.emissions(blocks))) if label
         )

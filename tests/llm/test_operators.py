@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -439,6 +440,16 @@ def test_articles_of_the_pages(spark, small, chain):
         assert texts[page.page_id].n_chars == len(texts[page.page_id].text)
 
 
+@pytest.mark.parametrize("start", ["<div>x", "<div class='a{0}'>x", "<x-a>x</b-c>"])
+def test_deep_pages_take_memory_in_proportion(chain, start):
+    page = "".join(start.replace("{0}", "bcdefghij"[k % 9] * (k // 9 + 1) if k < 900 else "z") for k in range(40_000))
+    tracemalloc.start()
+    chain.main_text(page)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<!--", "<script>x", "a<b", "</div></p>", "&amp", "<p " + "a='" * 2000])
 def test_broken_pages(chain, page):
     assert isinstance(chain.main_text(page), str)

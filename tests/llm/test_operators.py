@@ -492,6 +492,72 @@ def test_planted_items_are_found_and_clean_documents_stay(spark):
     assert simhash_decon.contaminated(d.limit(0), b).count() == 0
 
 
+def best_windows(docs, items):
+    """{(doc_id, item_id): (similarity, start)} over every start of every document."""
+    words = lambda text: [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
+    grams = lambda w: [" ".join(w[k : k + 5]) for k in range(len(w) - 4)]
+    best = {}
+    for d, text in docs:
+        w, all_grams = words(text), grams(words(text))
+        for i, passage in items:
+            own = Counter(grams(words(passage)))
+            size = own.total()
+            for start in range(max(1, len(all_grams) - size + 1) if own and all_grams else 0):
+                part = Counter(all_grams[start : start + size])
+                shared = (own & part).total()
+                similarity = shared / (size + part.total() - shared)
+                if similarity >= 0.8 and (-similarity, start) < best.get((d, i), (0, 0)):
+                    best[d, i] = (-similarity, start)
+    return {k: (round(-s, 6), start) for k, (s, start) in best.items()}
+
+
+def test_windows_start_at_every_place(spark):
+    # Passages with words put in, left out and changed, at both ends of the text and twice in it;
+    # items that repeat themselves, share a beginning, or have one shingle.
+    rng = np.random.default_rng(41)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    noise = lambda n: [word() for _ in range(n)]
+    shared = noise(12)
+    passages = [noise(int(n)) for n in rng.integers(5, 90, 24)] + [shared + noise(n) for n in (30, 45)]
+    passages += [noise(6) * 8, ["a", "b"] * 20, noise(5), noise(80)]
+    items = [(i, " ".join(p)) for i, p in enumerate(passages)]
+    docs = []
+    for _ in range(400):
+        p = list(passages[int(rng.integers(len(passages)))])
+        for _ in range(int(rng.integers(0, 4))):
+            at = int(rng.integers(len(p) + 1))
+            p = p[:at] + [noise(int(rng.integers(1, 4))), [], noise(1)][int(rng.integers(3))] + p[at + int(rng.integers(0, 2)) :]
+        again = p if rng.random() < 0.1 else []
+        before, behind = (noise(int(n)) for n in rng.integers(0, 60, 2) * rng.integers(0, 2, 2))
+        docs.append((len(docs), " ".join([*before, *p, *behind, *again])))
+    # Two words before the rarest shingles move the passage from where these would place it.
+    moved = passages[-1]
+    docs.append((900, " ".join([*moved[:4], *noise(3), *moved[4:], *noise(40)])))
+    expected = best_windows(docs, items)
+    assert len(expected) > 150
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    found = simhash_decon.contaminated(d, b).collect()
+    assert {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in found} == expected
+
+
+def test_a_window_at_the_threshold_keeps_the_firm_bits(spark):
+    rng = np.random.default_rng(6)
+    shingles = [[f"s{k}" for k in rng.integers(0, 10**6, n)] for n in rng.integers(1, 60, 150)]
+    rows = []
+    for own in shingles:
+        size = len(own)
+        changed = int(size / 9)
+        rows.append((own, [f"t{k}" for k in range(changed)] + own[changed:]))
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    unshared = F.floor(F.size("a") * 2 / 9 + 1e-9)
+    for name, side, margin in [("least", "a", unshared), ("most", "a", -unshared), ("mark", "b", F.lit(0))]:
+        df = simhash_decon.with_simhash(df, side, name, margin)
+    got = df.select("least", "most", "mark").collect()
+    assert all(r.least & ~r.mark == 0 and r.mark & ~r.most == 0 for r in got)
+    assert any(r.least for r in got) and any(r.most != -1 for r in got)
+
+
 def test_every_pair_within_the_radius_shares_a_block(spark):
     rng = np.random.default_rng(5)
     rows = []

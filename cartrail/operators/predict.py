@@ -263,12 +263,27 @@ def next_activity_accuracy(log: EventLog, max_len: int = MAX_LEN) -> DataFrame:
 
 # Labelled rows that a network is fitted on at most, picked by a hash of the case.
 MAX_FIT_ROWS = 5_000_000
+# Bytes of rows, as stored or as unpacked for the network, that one task of its fit should hold.
+TASK_BYTES = 64 << 20
 
 
 def _slots(x: str, max_len: int) -> list[Column]:
     return [F.col(x)[i].cast("double").alias(f"s{i}") for i in range(max_len)]
 
 
+def _fit_tasks(log: EventLog, max_len: int, size: int, max_rows: int) -> int:
+    """Parts to deal the rows of a network over, by the events that may give a row.
+
+    Training passes over the rows once per iteration: at least one part a core,
+    and as many more as keep a part near TASK_BYTES, however long the log is.
+    """
+    events = log.complete().count()
+    stored = events * 8 * (max_len + 4)
+    unpacked = min(events, max_rows) * 8 * (max_len * (size + 1) + size)
+    parts = -(-max(stored, unpacked) // TASK_BYTES)
+    return max(log.df.sparkSession.sparkContext.defaultParallelism, parts)
+
+
 def train_classifier(
     log: EventLog,
     max_len: int = MAX_LEN,
@@ -284,9 +299,7 @@ def train_classifier(
     pairs = next_activity_pairs(log, max_len)
     size = activity_vocabulary(log).count()
     rows = pairs.select("case_id", (F.col("y") - 1).cast("double").alias("label"), *_slots("x", max_len))
-    # Training passes over the rows once per iteration: keep every core busy
-    # even where small shuffles have been merged into few partitions.
-    rows = durable(rows.repartition(log.df.sparkSession.sparkContext.defaultParallelism))
+    rows = durable(rows.repartition(_fit_tasks(log, max_len, size, max_rows)))
     share = min(1.0, max_rows / max(1, rows.count()))
     drawn = F.pmod(F.xxhash64("case_id"), F.lit(1_000_000)) < share * 1_000_000
     held = in_holdout(F.col("case_id"))

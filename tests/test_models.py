@@ -5,10 +5,11 @@ import random
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 from pytest import approx
 
 from cartrail.functions import cuts
-from cartrail.operators import discovery, graph, predict, sampling, tree
+from cartrail.operators import discovery, graph, predict, sampling, traces, tree
 from cartrail.plans import report
 import dense_cuts
 from conftest import as_set
@@ -257,6 +258,34 @@ def test_sample_keeps_whole_sessions(clicks):
     assert sampling.sample_sessions(clicks, 0).select("user_session").distinct().count() == 1
 
 
+def test_classifier_rows_are_dealt_by_their_bytes(make_log, monkeypatch):
+    log = make_log(["abcdabcd"] * 120)
+    few = predict.train_classifier(log, max_len=4, max_iter=1)[1]
+    cores = log.df.sparkSession.sparkContext.defaultParallelism
+    assert few.rdd.getNumPartitions() == cores
+    # 960 events of 8 * (4 * 5 + 4) bytes unpacked; of 8 * (4 + 4) bytes stored, where few are unpacked.
+    monkeypatch.setattr(predict, "TASK_BYTES", 3000, raising=False)
+    many = predict.train_classifier(log, max_len=4, max_iter=1)[1]
+    assert many.rdd.getNumPartitions() == 62
+    assert max(many.rdd.glom().map(len).collect()) <= 3000 // 192
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
+    stored = predict.train_classifier(log, max_len=4, max_iter=1, max_rows=200)[1]
+    assert stored.rdd.getNumPartitions() == 21 and stored.count() == few.count()
+
+
+def test_classifier_suggests_for_every_case_from_many_parts(make_log, monkeypatch):
+    log = make_log(["abcd"] * 60)
+    vocabulary = traces.activity_vocabulary(log)
+    monkeypatch.setattr(predict, "TASK_BYTES", 3000, raising=False)
+    model, held = predict.train_classifier(log, max_len=4, max_iter=40)
+    assert held.rdd.getNumPartitions() == 16
+    best = predict.classifier_suggestions(model, make_log(["abc"] * 9).df.groupBy(F.col("case").alias("seq_id")).agg(
+        F.array_sort(F.collect_list("act")).alias("sequence")
+    ), vocabulary, max_len=4)
+    assert as_set(best.filter("rank = 1"), "seq_id", "activity") == {(f"c{i:03d}", "d") for i in range(9)}
+    assert best.count() == 27
+
+
 def test_classifier_learns_a_fixed_order(make_log):
     row = predict.classifier_accuracy(make_log(["abcd"] * 60), max_len=4, max_iter=40).first()
     assert row.pairs > 0 and row.accuracy == 1.0

@@ -261,8 +261,6 @@ def next_activity_accuracy(log: EventLog, max_len: int = MAX_LEN) -> DataFrame:
     )
 
 
-# Labelled rows that a network is fitted on at most, picked by a hash of the case.
-MAX_FIT_ROWS = 5_000_000
 # Bytes of rows, as stored or as unpacked for the network, that one task of its fit should hold.
 TASK_BYTES = 64 << 20
 
@@ -271,7 +269,7 @@ def _slots(x: str, max_len: int) -> list[Column]:
     return [F.col(x)[i].cast("double").alias(f"s{i}") for i in range(max_len)]
 
 
-def _fit_tasks(log: EventLog, max_len: int, size: int, max_rows: int) -> int:
+def _fit_tasks(log: EventLog, max_len: int, size: int, max_rows: int | None) -> int:
     """Parts to deal the rows of a network over, by the events that may give a row.
 
     Training passes over the rows once per iteration: at least one part a core,
@@ -279,7 +277,8 @@ def _fit_tasks(log: EventLog, max_len: int, size: int, max_rows: int) -> int:
     """
     events = log.complete().count()
     stored = events * 8 * (max_len + 4)
-    unpacked = min(events, max_rows) * 8 * (max_len * (size + 1) + size)
+    fitted = events if max_rows is None else min(events, max_rows)
+    unpacked = fitted * 8 * (max_len * (size + 1) + size)
     parts = -(-max(stored, unpacked) // TASK_BYTES)
     return max(log.df.sparkSession.sparkContext.defaultParallelism, parts)
 
@@ -289,20 +288,24 @@ def train_classifier(
     max_len: int = MAX_LEN,
     max_iter: int = 30,
     hidden: int = 64,
-    max_rows: int = MAX_FIT_ROWS,
+    max_rows: int | None = None,
+    hold_out: bool = True,
 ) -> tuple[PipelineModel, DataFrame]:
     """A fitted network on one-hot slots of the last activities, and its held-out rows.
 
-    Fitted on about ``max_rows`` rows of whole cases at most; all held-out rows
-    are returned.
+    Fitted on every row that is not held out, and on the rows of every case
+    without ``hold_out``. Only a caller that gives ``max_rows`` gets a fit on
+    about so many rows of whole cases; all held-out rows are returned.
     """
     pairs = next_activity_pairs(log, max_len)
     size = activity_vocabulary(log).count()
     rows = pairs.select("case_id", (F.col("y") - 1).cast("double").alias("label"), *_slots("x", max_len))
     rows = durable(rows.repartition(_fit_tasks(log, max_len, size, max_rows)))
-    share = min(1.0, max_rows / max(1, rows.count()))
-    drawn = F.pmod(F.xxhash64("case_id"), F.lit(1_000_000)) < share * 1_000_000
-    held = in_holdout(F.col("case_id"))
+    held = in_holdout(F.col("case_id")) if hold_out else F.lit(False)
+    fitted = rows.filter(~held)
+    if max_rows is not None:
+        share = min(1.0, max_rows / max(1, rows.count()))
+        fitted = fitted.filter(F.pmod(F.xxhash64("case_id"), F.lit(1_000_000)) < share * 1_000_000)
     slots = [f"s{i}" for i in range(max_len)]
     encoded = [f"v{i}" for i in range(max_len)]
     # One reference row per id fixes the width of every slot.
@@ -322,7 +325,7 @@ def train_classifier(
             ),
         ]
     )
-    return stages.fit(rows.filter(~held & drawn)), rows.filter(held)
+    return stages.fit(fitted), rows.filter(held)
 
 
 def classifier_suggestions(

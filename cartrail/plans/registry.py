@@ -211,7 +211,7 @@ def classifier_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many suggestions each session gets from the fitted network, and whether they are in order."""
     log = bindings.session_log(spark, sf_dir)
     vocabulary = durable(traces.activity_vocabulary(log))
-    model, _ = predict.train_classifier(log, max_iter=5)
+    model, _ = predict.train_classifier(log, max_iter=5, hold_out=False)
     tails = predict.known_tails(_with_unknown_steps(log), vocabulary)
     best = predict.classifier_suggestions(model, tails, vocabulary)
     ranked = F.array_sort(F.collect_list(F.struct("rank", "activity", "prob")))

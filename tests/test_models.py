@@ -10,7 +10,7 @@ from pytest import approx
 
 from cartrail.functions import cuts
 from cartrail.operators import discovery, graph, predict, sampling, traces, tree
-from cartrail.plans import report
+from cartrail.plans import registry, report
 import dense_cuts
 from conftest import as_set
 
@@ -286,6 +286,63 @@ def test_classifier_suggests_for_every_case_from_many_parts(make_log, monkeypatc
     assert best.count() == 27
 
 
+MANY_PAIRS = 5_100_000  # more than the five million that a network was once fitted on
+
+
+@pytest.fixture
+def many_pairs(spark, make_log, monkeypatch):
+    """A log whose pairs are replaced by many, and the numbers of rows that networks are fitted on."""
+    pairs = spark.range(MANY_PAIRS).selectExpr("string(id) case_id", "array(1 + id % 3) x", "1 + id % 4 y")
+    monkeypatch.setattr(predict, "next_activity_pairs", lambda log, max_len: pairs)
+    fitted = []
+
+    class Knowing:
+        """Stands in for the network, which would take long to fit, and is always right."""
+
+        def __init__(self, stages):
+            pass
+
+        def fit(self, rows):
+            fitted.append(rows.count())
+            return self
+
+        def transform(self, rows):
+            return rows.withColumn("prediction", F.col("label"))
+
+    monkeypatch.setattr(predict, "Pipeline", Knowing)
+    return make_log(["abcd"]), fitted
+
+
+def test_classifier_is_fitted_on_all_rows_of_a_long_log(many_pairs):
+    log, fitted = many_pairs
+    held = predict.train_classifier(log, max_len=1, hold_out=False)[1]
+    assert fitted == [MANY_PAIRS] and held.isEmpty()
+
+
+def test_suggestions_are_fitted_on_every_case(spark, tmp_path, monkeypatch):
+    """The query scores with a network of all sessions; none are set aside, as it measures nothing."""
+    kinds = "element_at(array('view', 'click', 'purchase', 'signup'), 1 + int(id * id + id div 40) % 4)"
+    spark.range(200).selectExpr(
+        "id event_id",
+        "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, int(id)) ts",
+        "id % 40 user_id",
+        f"{kinds} event_type",
+        "1.0D value",
+        """'{"k": 1}' props""",
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    fitted = []
+
+    class Counting(predict.Pipeline):
+        def fit(self, rows):
+            fitted.append(rows.count())
+            return super().fit(rows)
+
+    monkeypatch.setattr(predict, "Pipeline", Counting)
+    rows = registry.classifier_suggestions(spark, str(tmp_path)).collect()
+    assert fitted == [160]
+    assert len(rows) == 40 and all((r.suggestions, r.activities, r.in_order) == (3, 3, True) for r in rows)
+
+
 def test_classifier_learns_a_fixed_order(make_log):
     row = predict.classifier_accuracy(make_log(["abcd"] * 60), max_len=4, max_iter=40).first()
     assert row.pairs > 0 and row.accuracy == 1.0

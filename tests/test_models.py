@@ -319,6 +319,13 @@ def test_classifier_is_fitted_on_all_rows_of_a_long_log(many_pairs):
     assert fitted == [MANY_PAIRS] and held.isEmpty()
 
 
+def test_accuracy_is_of_a_network_of_all_rows_outside_the_holdout(many_pairs):
+    log, fitted = many_pairs
+    row = predict.classifier_accuracy(log, max_len=1).first()
+    assert 0 < row.pairs < MANY_PAIRS / 4 and fitted == [MANY_PAIRS - row.pairs]
+    assert row.accuracy == 1.0
+
+
 def test_suggestions_are_fitted_on_every_case(spark, tmp_path, monkeypatch):
     """The query scores with a network of all sessions; none are set aside, as it measures nothing."""
     kinds = "element_at(array('view', 'click', 'purchase', 'signup'), 1 + int(id * id + id div 40) % 4)"
